@@ -1,0 +1,52 @@
+"""Tables and folders that the driver and every executor can reach."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+from urllib.parse import unquote, urlparse
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
+    temporary folder of our own, which the session then keeps under the same setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="vicinage-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/vicinage/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, and a lost
+    executor costs at most the tasks that were running."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def local_path(uri: str) -> str | None:
+    """The mounted path behind a ``file:`` URI or a bare path; None for other stores."""
+    parts = urlparse(uri)
+    return unquote(parts.path) if parts.scheme in ("", "file") else None
+
+
+def filesystem(uri: str):
+    """(pyarrow file system, path) of a URI that executors read and write."""
+    from pyarrow import fs
+
+    path = local_path(uri)
+    if path is not None:
+        os.makedirs(path, exist_ok=True)
+        return fs.LocalFileSystem(), path
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path, recursive=True)
+    return store, path
