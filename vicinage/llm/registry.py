@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, language, licenses, mixing, packing, topk, warc
+from . import ann, jaccard, language, licenses, mixing, packing, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_language_id": language.op3_language_id,
     "op5_license_scan": licenses.op5_license_scan,
