@@ -10,7 +10,8 @@ rank among the pieces of their length.
 from __future__ import annotations
 
 import bisect
-import re
+import os
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -24,38 +25,76 @@ from .storage import materialize
 CAPACITY = 4096
 #: Buckets that the pieces of one length are ranked in.
 SALTS = 64
-#: Words kept in a worker's cache of encoded words.
-CACHE_WORDS = 200_000
+#: Chunks kept in a worker's cache of encoded chunks.
+CACHE = 1_000_000
+_MARKS = frozenset(b".,!?;:|")
 
-# Characters whose case folding and classes are the same in the tokenizer and in Python's re; a text
-# with any other goes to the tokenizer as a whole.
-_PLAIN = re.compile("[^\t-\r\x20-\x7e¡-±´-¸»¿-įı-ɏ]|<\\|")
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable bytes stand for
+    themselves, the others are numbered from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+_LETTERS = byte_letters()
+
+
+class Chunks(dict):
+    """Encoded ids of chunks of text without white space, filled as they are asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.word = tokenizer, tokenizer.model.tokenize
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(chunk) > 1 and chunk[-1] in _MARKS and 97 <= chunk[-2] <= 122:
+            ids = self[chunk[:-1]] + self[chunk[-1:]]  # one mark after a letter is a word of its own
+        else:
+            text = chunk.decode("utf-8", "replace")
+            if text.isascii():
+                simple = text.isalpha() and text.islower()
+            else:  # Latin letters, whose case and composition are the same everywhere
+                simple = text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
+                text = text.lower().encode().decode("latin-1").translate(_LETTERS) if simple else text
+            if simple:  # one run of letters is one word
+                found = [t.id for t in self.word(text)]
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[chunk] = ids
+        return ids
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian uint32 bytes, from a cache of encoded words."""
+    """Token ids of whole texts as little-endian uint32 bytes.
+
+    The tokenizer drops white space and nothing it does reaches across it, so a text's ids are those
+    of its chunks between ASCII white space, one after another. It folds case, so A-Z is folded
+    first, unless a special token's name may be spelt. The cache of chunks is of bounded size."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, keep: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.cache_words = Tokenizer.from_file(path), {}, cache_words
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.cache, self.keep = Chunks(Tokenizer.from_file(path)), keep
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.cache) > self.keep:
+            self.cache.clear()
+        find = self.cache.__getitem__
+        return [b"".join(map(find, (t if b"<|" in t else t.lower()).split())) for t in texts]
+
+
+_encoders: dict[str, Encoder] = {}
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, np.uint32).astype("<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if _PLAIN.search(text):
-            return self.raw([text])[0]
-        words = _WORD.findall(text.lower())
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            if len(self.cache) > self.cache_words:
-                self.cache.clear()
-            new = list({w for w in words if w not in self.cache})
-            self.cache.update(zip(new, self.raw(new)))
-            return b"".join(map(self.cache.__getitem__, words))
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a vocabulary file, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -67,20 +106,20 @@ def pieces(documents: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches):
-        encoder = Encoder(tokenizer)
+        own = encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows = []
-                for ident, value in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = encoder.encode(value.as_py() or "") + end
+                for ident, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist())):
+                    ids += end
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                         chunk = ids[start : start + 4 * capacity]
                         rows.append((ident, k, start // 4, len(chunk) // 4, zlib.crc32(chunk)))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).mapInArrow(cut, PIECES)
 
 
 def patterns(lengths: list[int], capacity: int, per_length: int = 4) -> list[tuple[int, ...]]:
