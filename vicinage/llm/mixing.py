@@ -14,8 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from ..storage import materialize
 
+#: Ranges of all sources up to which their offsets are broadcast (about 60 bytes each).
+BROADCAST_RANGES = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -68,6 +70,9 @@ def mix_sources(documents: DataFrame, size: Column, *, doc_id: str = "doc_id", s
     ranges = totals.withColumn("offset", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).cast("long"))
     targets = source_targets(totals.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, ceiling)
     ranges = ranges.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("of"), F.col("range").alias("of_range"), "offset", "source_size", "target")
+    if keep:  # the offsets go to the rows if there are few, rather than the rows' columns to them
+        ranges = materialize(ranges, "ranges")
+        ranges = F.broadcast(ranges) if ranges.count() <= BROADCAST_RANGES else ranges
     within = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
     rows = rows.withColumn("upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("of_range")))
@@ -79,6 +84,26 @@ def mix_sources(documents: DataFrame, size: Column, *, doc_id: str = "doc_id", s
     return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).alias("taken"), (cut % F.greatest(F.col("size"), F.lit(1))).alias("cut"), *keep)
 
 
+def mixed_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20) -> DataFrame:
+    """The rows of the mix with all columns of ``documents``: a row for every whole copy, and for the
+    row at its source's cut one more whose text ends there. A column n_chars, if any, is set to the
+    length of a cut text. Null and empty texts have no words and are not in the mix; other columns,
+    whatever their names, come along."""
+    columns = documents.columns
+    packed = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("_size"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    mixed = mix_sources(packed, F.col("_size"), seed=seed, keep=("_row",))
+    whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0)).cast("int")
+    copies = F.concat(F.array_repeat(F.lit(False), whole), F.array_repeat(F.lit(True), F.when(F.col("cut") > 0, 1).otherwise(0)))
+    rows = mixed.select("_row", "cut", F.explode(copies).alias("_cut"))
+    own = F.col("_row")[text]
+    words = F.regexp_extract_all(own, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.array_join(F.slice(words, 1, F.greatest(F.col("cut"), F.lit(1)).cast("int")), "")
+    changed = {text: F.when(F.col("_cut"), part).otherwise(own)}
+    if "n_chars" in columns:
+        changed["n_chars"] = F.when(F.col("_cut"), F.char_length(part).cast("long")).otherwise(F.col("_row")["n_chars"])
+    return rows.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in columns])
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import filesystem, fresh_path, local_path, materialize
+from ..storage import filesystem, fresh_path, local_path, materialize
 
 # Fixed values of the seekable format and of WARC 1.1.
 SKIPPABLE_MAGIC = 0x184D2A5E
