@@ -13,8 +13,8 @@ def table(spark, n=300, d=16, seed=0, hot=40):
     x = rng.standard_normal((n, d)).astype(np.float32)
     x[:hot] = x[0]  # one common vector: ties
     rows = [(i, x[i].tolist(), 0, "s", "r") for i in range(n)]
-    rows += [(1000, None, None, None, None), (1001, [1.0, None] + [0.0] * (d - 2), None, None, None), (1002, [math.nan] * d, None, None, None), (1003, [math.inf] + [0.0] * (d - 1), None, None, None), (1004, [0.0] * d, None, None, None), (None, x[0].tolist(), None, None, None), (1005, [0.5] * (d - 3), None, None, None), (1006, [], None, None, None)]
-    rows += [rows[5], rows[50]]
+    rows += [(900000, None, None, None, None), (900001, [1.0, None] + [0.0] * (d - 2), None, None, None), (900002, [math.nan] * d, None, None, None), (900003, [math.inf] + [0.0] * (d - 1), None, None, None), (900004, [0.0] * d, None, None, None), (None, x[0].tolist(), None, None, None), (900005, [0.5] * (d - 3), None, None, None), (900006, [], None, None, None)]
+    rows += [rows[5], rows[n // 2]]
     return rows, spark.createDataFrame(rows, SCHEMA).repartition(6)
 
 
@@ -39,11 +39,12 @@ def test_exact_top_k_matches_brute_force(spark):
 
 
 def test_scores_beyond_exact_doubles(spark):
-    rows = [(0, [3e7, 1.0]), (1, [3e7, 1.0]), (2, [3e7, 2.0]), (3, [3e7 - 4, 5.0])]
+    rows = [(0, [2e6, 1.0]), (1, [2e6, 1.0]), (2, [2e6, 2.0]), (3, [2e6 - 4, 5.0]), (4, [-2e6, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.exact_top_k(frame, frame.filter("vec_id = 0"), 3).orderBy("rank").collect()]
     ints = [[math.floor(1024 * v) for v in e] for _, e in rows]
-    scores = sorted((-sum(a * b for a, b in zip(ints[0], ints[i])), i) for i in (1, 2, 3))
+    scores = sorted((-sum(a * b for a, b in zip(ints[0], ints[i])), i) for i in (1, 2, 3, 4))[:3]
+    assert -scores[0][0] > 2**53
     assert got == [(0, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
 
 
@@ -72,7 +73,7 @@ def test_forest_scores_order_and_recall(spark):
         limit = -true[19][0]
         recall.append((group.score >= limit - 1e-9).sum() / 20)
         group = group.sort_values("rank")
-        assert group["rank"].tolist() == list(range(1, 21)) and q not in set(group.vec_id) and 1004 not in set(group.vec_id)
+        assert group["rank"].tolist() == list(range(1, 21)) and q not in set(group.vec_id) and 900004 not in set(group.vec_id)
         keys = list(zip(-group.score, group.vec_id))
         assert keys == sorted(keys)
         for i, s in zip(group.vec_id, group.score):

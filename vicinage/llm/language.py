@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FEATURES = 4096
+#: Features, and characters of a very long text that are counted at a time.
+FEATURES, PIECE = 4096, 1 << 20
 #: Documents of the fitting sample in all, and centroids of a language.
 SAMPLE, CENTROIDS = 4096, 4
 #: A text is rejected below this share of the smallest cosine in its language's sample.
@@ -33,8 +34,8 @@ def counts(texts: list[str]) -> np.ndarray:
     """Counts of hashed bigrams and trigrams of whole texts, a row each."""
     out = np.zeros((len(texts), FEATURES), np.float32)
     for row, text in enumerate(texts):
-        for at in range(0, len(text), 1 << 20):  # very long texts by pieces that overlap
-            raw = (" " if at == 0 else "") + text[max(0, at - 2) : at + (1 << 20)].lower() + " "
+        for at in range(0, len(text), PIECE):  # very long texts by pieces
+            raw = " " + text[at : at + PIECE].lower() + " "
             b = _BLANK[np.frombuffer(raw.encode("utf-8", "replace"), np.uint8)]
             b = b[(b != 32) | (np.append(1, b[:-1]) != 32)]
             pair = b[:-1] * np.uint32(256) + b[1:]

@@ -201,7 +201,14 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
 
 
 def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use up a histogram of lengths exactly."""
+    """(pattern, repeats) that use up a histogram of lengths exactly: the fitted patterns and the
+    best fit of what remains, or, where few lengths fill no sequence well, best fit of everything."""
+    plans = [fitted_plan(histogram, capacity), best_fit(histogram, capacity)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def fitted_plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns fitted to the histogram, then best fit of the pieces that rounding leaves."""
     left = {int(n): int(c) for n, c in histogram.items() if c > 0}
     plan: list[tuple[tuple[int, ...], int]] = []
     if capacity in left:
