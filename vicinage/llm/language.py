@@ -14,9 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sampling import smallest_hashes
+
 #: Features, and characters of a very long text that are counted at a time.
 FEATURES, PIECE = 4096, 1 << 20
 #: Documents of the fitting sample in all, and centroids of a language.
@@ -113,8 +115,7 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
 
     languages = rows.groupBy("label").count().count()
     share = max(1, sample // max(1, languages))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "label").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= share).select(F.col("doc_id").alias("of"))
+    chosen = smallest_hashes(rows.select("doc_id", "label"), "doc_id", "label", share).select(F.col("doc_id").alias("of"))
     picked = rows.join(F.broadcast(chosen.distinct()), F.col("doc_id").eqNullSafe(F.col("of"))).select("label", "text")
 
     def vectors(batches):

@@ -1,6 +1,7 @@
-"""Toxicity severity by cumulative-link ordinal regression on word counts.
+"""Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-With features x (log counts of a text's words) and one weight vector w for all grades,
+A text's features x are the log counts of its words and of their beginnings, as far as these are
+associated with the labels. With one weight vector w for all grades,
 P(grade >= j) = sigmoid(w.x - t_j) for increasing thresholds t_j. The expected severity is the sum of
 these over j.
 """
@@ -11,24 +12,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+from .sampling import smallest_hashes
 from .words import U64, buffers, word_hashes
 
-#: Labelled documents of each class that are fitted on at most, and the vocabulary's size and the
-#: number of these documents that a word of it must be in.
-SAMPLE, VOCABULARY, LEAST = 4000, 20_000, 8
+#: Labelled documents of each class that are fitted on at most, and bytes of a word's beginnings.
+SAMPLE, CUTS = 3000, (4, 5, 6, 7)
+#: Features at most, the number of fitted documents that one must be in, and the standard errors by
+#: which its shares of the toxic and of the other documents must differ, and the least log odds between them.
+VOCABULARY, LEAST, STRENGTH, ODDS = 5000, 8, 4.0, 1.5
 #: ASCII other than letters separates words; bytes of other scripts are parts of words.
 _ONLY_LETTERS = np.arange(256, dtype=np.uint8)
 _ONLY_LETTERS[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 
-def letter_words(column) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds) of the words of letters of a string column."""
+def features(column) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds) of the words of letters of a string column and of their beginnings."""
     data, offsets = buffers(column)
     begin = int(offsets[0])
-    return word_hashes(_ONLY_LETTERS[data[begin : int(offsets[-1])]], offsets - begin)
+    flat, bounds = word_hashes(_ONLY_LETTERS[data[begin : int(offsets[-1])]], offsets - begin, CUTS)
+    return flat.ravel(), bounds * (1 + len(CUTS))
 
 
 @dataclass
@@ -41,15 +47,10 @@ class Severity:
 
     def grades(self, column) -> np.ndarray:
         """P(grade >= j) for j = 1.. of the texts of a column."""
-        flat, bounds = letter_words(column)
+        flat, bounds = features(column)
         n = len(bounds) - 1
-        eta = np.zeros(n)
-        if len(self.words) and len(flat):
-            at = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
-            hit = self.words[at] == flat
-            row = np.repeat(np.arange(n), np.diff(bounds))[hit]
-            pair, count = np.unique(row * len(self.words) + at[hit], return_counts=True)
-            eta += np.bincount(pair // len(self.words), np.log1p(count) * self.weights[pair % len(self.words)], n)
+        row, place, count = counted(flat, bounds, self.words)
+        eta = np.bincount(row, np.log1p(count) * self.weights[place], n)
         return _sigmoid(eta[:, None] - self.thresholds)
 
 
@@ -88,52 +89,85 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return w, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
 
 
+def counted(flat: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the vocabulary, count) of the vocabulary's features that texts hold."""
+    if not len(vocabulary) or not len(flat):
+        return (np.zeros(0, np.int64),) * 3
+    at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+    hit = vocabulary[at] == flat
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[hit]
+    pair, count = np.unique(row * len(vocabulary) + at[hit], return_counts=True)
+    return pair // len(vocabulary), pair % len(vocabulary), count
+
+
+def associated(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, log odds) of the features associated with the label of
+    (toxic, text); none without examples of both classes."""
+    def local(batches):
+        seen, n = [[], []], [0, 0]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                flat, bounds = features(part.column("text"))
+                for label, a, b in zip(part.column("toxic").to_pylist(), bounds[:-1], bounds[1:]):
+                    seen[label].append(np.unique(flat[a:b]))
+                    n[label] += 1
+        both = [np.unique(np.concatenate([*s, np.zeros(0, U64)]), return_counts=True) for s in seen]
+        for label, (found, count) in enumerate(both):
+            hashes = pa.concat_arrays([pa.array(found.view(np.int64)), pa.nulls(1, pa.int64())])
+            count = np.append(count, n[label])
+            yield pa.RecordBatch.from_arrays([hashes, pa.array(count * label), pa.array(count * (1 - label))], ["feature", "bad", "good"])
+
+    sums = examples.select("toxic", "text").mapInArrow(local, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    sums = materialize(sums, "associations")
+    total = sums.filter("feature IS NULL").first()
+    if total is None or not total["bad"] or not total["good"]:
+        return np.zeros(0, U64), np.zeros(0)
+    cells = [F.col("bad") + 0.5, F.lit(total["bad"] + 0.5) - F.col("bad"), F.col("good") + 0.5, F.lit(total["good"] + 0.5) - F.col("good")]
+    odds = F.log(cells[0] * cells[3] / (cells[1] * cells[2]))
+    pooled = (F.col("bad") + F.col("good")) / F.lit(float(total["bad"] + total["good"]))
+    error = F.sqrt(pooled * (1 - pooled) * (1 / total["bad"] + 1 / total["good"])) + 1e-12
+    gap = F.abs(F.col("bad") / F.lit(total["bad"]) - F.col("good") / F.lit(total["good"]))
+    able = sums.filter("feature IS NOT NULL").filter(F.col("bad") + F.col("good") >= min(LEAST, max(1, (total["bad"] + total["good"]) // 20)))
+    able = able.select("feature", odds.alias("odds"), (gap / error).alias("strength"))
+    strong = able.filter((F.col("strength") >= STRENGTH) & (F.abs("odds") >= ODDS))
+    chosen = (able if strong.isEmpty() else strong).orderBy(F.desc("strength"), "feature").limit(VOCABULARY).toPandas()
+    hashes = chosen["feature"].to_numpy().astype(np.int64).view(U64)
+    order = np.argsort(hashes)
+    return hashes[order], chosen["odds"].to_numpy()[order]
+
+
 def fit(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Severity:
     """Fit severity grades 0, 1, 2 on labelled documents, at most ``sample`` of each class (those of
     smallest hash; the bound is the operator's one sample).
 
     The labels say toxic or not. Grade 0 is not toxic; a toxic document is of grade 2 if it holds
-    more occurrences of words that mark toxic documents (log odds above 2) than the median toxic
+    more occurrences of features that mark toxic documents (log odds above 2) than the median toxic
     document, else of grade 1. Rows without text, label or id are no examples; without examples of
     both classes every severity is 0."""
     chosen = labels.select(F.col(doc_id).alias("of"), F.col(label).cast("int").alias("toxic")).filter("of IS NOT NULL AND toxic IN (0, 1)").groupBy("of").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("of"), "of")
-    chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).drop("n")
+    chosen = smallest_hashes(chosen, "of", "toxic", sample)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
     picked = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("toxic", "text")
+    picked = materialize(picked.withColumn("doc", F.monotonically_increasing_id()), "examples")
+    vocabulary, odds = associated(picked)
+    if not len(vocabulary):
+        return Severity(np.zeros(0, U64), np.zeros(0), np.array([35.0, 36.0]))
 
-    def counted(batches):
+    def held(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                flat, bounds = letter_words(part.column("text"))
-                words, counts = [], []
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    h, c = np.unique(flat[a:b], return_counts=True)
-                    words.append(h.tobytes())
-                    counts.append(np.minimum(c, 65535).astype(np.uint16).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], ["toxic", "words", "counts"])
-
-    found = picked.mapInArrow(counted, "toxic int, words binary, counts binary").limit(4 * sample).toArrow().to_pylist()
-    found.sort(key=lambda r: (r["toxic"], r["words"], r["counts"]))
-    toxic = np.array([r["toxic"] for r in found], np.int64)
-    if len(set(toxic.tolist())) < 2:
-        return Severity(np.zeros(0, U64), np.zeros(0), np.array([35.0, 36.0]))
-    words = [np.frombuffer(r["words"], U64) for r in found]
-    row = np.repeat(np.arange(len(found)), [len(x) for x in words])
-    flat = np.concatenate(words)
-    count = np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in found]).astype(float)
-    vocabulary, frequency = np.unique(flat, return_counts=True)
-    kept = np.flatnonzero(frequency >= min(LEAST, max(1, len(found) // 20)))
-    kept = np.sort(kept[np.argsort(-frequency[kept], kind="stable")][:VOCABULARY])
-    vocabulary = vocabulary[kept]
-    at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
-    hit = vocabulary[at] == flat
-    row, column, count = row[hit], at[hit], count[hit]
-    bad = np.bincount(column[toxic[row] == 1], minlength=len(vocabulary)) + 0.5
-    good = np.bincount(column[toxic[row] == 0], minlength=len(vocabulary)) + 0.5
-    marks = np.log(bad / (toxic.sum() + 1)) - np.log(good / ((1 - toxic).sum() + 1)) > 2
-    marked = np.bincount(row, count * marks[column], len(found))
+                flat, bounds = features(part.column("text"))
+                row, place, count = counted(flat, bounds, vocabulary)
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row)), pa.array(place), pa.array(count)], ["doc", "place", "count"])
+
+    examples = picked.select("doc", "toxic").toArrow().sort_by("doc")
+    toxic = examples.column("toxic").to_numpy().astype(np.int64)
+    cells = picked.mapInArrow(held, "doc long, place long, count long").toArrow().sort_by([("doc", "ascending"), ("place", "ascending")])
+    row = np.searchsorted(examples.column("doc").to_numpy(), cells.column("doc").to_numpy())
+    column, count = cells.column("place").to_numpy(), cells.column("count").to_numpy().astype(float)
+    marked = np.bincount(row, count * (odds[column] > 2), len(toxic))
     grade = np.where(toxic == 1, 1 + (marked > np.median(marked[toxic == 1])), 0).astype(np.int64)
     weights, thresholds = fit_ordinal(row, column, np.log1p(count), grade, len(vocabulary), 3)
     return Severity(vocabulary, weights, thresholds)

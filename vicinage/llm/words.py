@@ -56,10 +56,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word of all documents in order, first word of each document and the end).
 
-    Memory beyond the result is bounded by the piece size or the longest single word."""
+    With ``prefixes`` each word gives a row: its hash, then those of its first so many bytes, or of all
+    if it is shorter, each kind apart from the others. Memory beyond the result is bounded by the piece size or the longest single word."""
     hashes, firsts = [], []
     begin, end = int(offsets[0]), int(offsets[-1])
     cuts = offsets[1:-1]
@@ -85,10 +86,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             power, inverse = _powers(len(part))
             total = np.zeros(len(part) + 1, U64)
             np.cumsum(_CODES[part] * power, dtype=U64, out=total[1:])
-            hashes.append(mix((total[last] - total[first]) * inverse[first] + (last - first).astype(U64)))
+            own = [mix((total[last] - total[first]) * inverse[first] + (last - first).astype(U64))]
+            for cut in prefixes:
+                upto = np.minimum(last, first + cut)
+                own.append(mix((total[upto] - total[first]) * inverse[first] + (upto - first).astype(U64) + U64(cut << 32)))
+            hashes.append(np.stack(own, axis=1) if prefixes else own[0])
             firsts.append(first + begin)
         begin = stop
-    flat = np.concatenate(hashes) if hashes else np.zeros(0, U64)
+    flat = np.concatenate(hashes) if hashes else np.zeros((0, 1 + len(prefixes)) if prefixes else 0, U64)
     at = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
     return flat, np.searchsorted(at, offsets)
 
