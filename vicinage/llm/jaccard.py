@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import bound_batches
 from .components import components
 from ..storage import materialize
 from .words import U64, buffers, mix, shingle_sets, word_hashes
 
 WIDTH = 5
-#: Longs of the verification sketch; sets of a signature in one batch that travel packed.
+#: Longs of the verification sketch; sets of a signature in one pack that travel packed.
 SKETCH, PACKED = 8, 64
 #: Nodes up to which their names are broadcast to pick texts (16 bytes each); a join beyond it.
 BROADCAST_NODES = 500_000
@@ -36,6 +37,8 @@ BROADCAST_NODES = 500_000
 OFTEN = 2000
 #: Comparisons a row of the last round may cost before more sets are linked by leaders first.
 COMPARED = 256
+#: Hashes that a task holds at a time.
+HELD = 2_000_000
 
 
 def set_name(s: np.ndarray) -> np.uint64:
@@ -107,7 +110,7 @@ def frequent_shingles(documents: DataFrame, width: int) -> np.ndarray:
                     if len(s) and (name := int(set_name(s))) not in seen:
                         seen.add(name)
                         held.append(s)
-            if sum(map(len, held)) > 6_000_000:
+            if sum(map(len, held)) > HELD:
                 yield out(held, total)
                 held, total = [], 0
         yield out(held, total)
@@ -142,8 +145,9 @@ def _find(documents: DataFrame, width: int) -> DataFrame:
 
     def sketches(batches):
         seen: set[int] = set()
+        keys, key_nodes = [], []
         for batch in batches:
-            sizes, own, keys, key_nodes = [], [], [], []
+            sizes, own = [], []
             for _, sets in _sets(batch, width):
                 for s in sets:
                     sizes.append(len(s))
@@ -159,23 +163,28 @@ def _find(documents: DataFrame, width: int) -> DataFrame:
                         key_nodes.append(np.full(len(found), name))
             spread = np.arange(len(sizes)) % parts
             yield rows(0, spread, doc_id=batch.column("doc_id"), n=pa.array(np.asarray(sizes, np.int64)), node=pa.array(own, pa.int64()))
-            if not keys:
-                continue
-            sig, node = np.concatenate(keys), np.concatenate(key_nodes)
-            part = (sig % U64(parts)).astype(np.int64)
-            low = ((sig // U64(parts)) & U64(0xFFFFFFFF)).astype(np.uint32)
-            order = np.lexsort((low, part))
-            part, low, node = part[order], low[order], node[order]
-            edge = np.concatenate([[True], (part[1:] != part[:-1]) | (low[1:] != low[:-1])])
-            start = np.flatnonzero(edge)
-            place = np.arange(len(low)) - np.repeat(start, np.diff(np.append(start, len(low))))
-            if (over := place >= PACKED).any():  # a hot signature: only some of its rows meet in one task
-                hot = part[over] | (low[over].astype(np.int64) << 24)
-                yield rows(2, np.arange(len(hot)) % parts, sig=pa.array(hot), node=_longs(node[over]))
-                part, low, node = part[~over], low[~over], node[~over]
-            ends = np.searchsorted(part, np.arange(parts + 1))
-            filled = [p for p in range(parts) if ends[p] < ends[p + 1]]
-            yield rows(1, filled, sigs=[low[ends[p] : ends[p + 1]].tobytes() for p in filled], nodes=[node[ends[p] : ends[p + 1]].tobytes() for p in filled])
+            if sum(map(len, keys)) > HELD // 2:
+                yield from packed_rows(keys, key_nodes)
+                keys, key_nodes = [], []
+        if keys:
+            yield from packed_rows(keys, key_nodes)
+
+    def packed_rows(keys, key_nodes):
+        sig, node = np.concatenate(keys), np.concatenate(key_nodes)
+        part = (sig % U64(parts)).astype(np.int64)
+        low = ((sig // U64(parts)) & U64(0xFFFFFFFF)).astype(np.uint32)
+        order = np.lexsort((low, part))
+        part, low, node = part[order], low[order], node[order]
+        edge = np.concatenate([[True], (part[1:] != part[:-1]) | (low[1:] != low[:-1])])
+        start = np.flatnonzero(edge)
+        place = np.arange(len(low)) - np.repeat(start, np.diff(np.append(start, len(low))))
+        if (over := place >= PACKED).any():  # a hot signature: only some of its rows meet in one task
+            hot = part[over] | (low[over].astype(np.int64) << 24)
+            yield rows(2, np.arange(len(hot)) % parts, sig=pa.array(hot), node=_longs(node[over]))
+            part, low, node = part[~over], low[~over], node[~over]
+        ends = np.searchsorted(part, np.arange(parts + 1))
+        filled = [p for p in range(parts) if ends[p] < ends[p + 1]]
+        yield rows(1, filled, sigs=[low[ends[p] : ends[p + 1]].tobytes() for p in filled], nodes=[node[ends[p] : ends[p + 1]].tobytes() for p in filled])
 
     def shared(batches):
         parts_, lows, nodes = [], [], []
@@ -271,6 +280,7 @@ def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     an empty set, link with nothing and keep their own id; repeated rows and rows that repeat an id
     are linked like others; a null doc_id stays null unless its component has an id; other columns
     are ignored; an empty table gives no rows."""
+    bound_batches(documents.sparkSession)
     similarity = 80  # the bound a div 4 on the symmetric difference belongs to it
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = _find(rows, width)

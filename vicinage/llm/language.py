@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import bound_batches
 from .sampling import smallest_hashes
 
 #: Features, and characters of a very long text that are counted at a time.
@@ -98,6 +99,7 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
     are clustered on at most ``sample`` rows, an equal share a language, those of smallest hash.
     Without any such row the model has no language and predicts `und`."""
     spark = labelled.sparkSession
+    bound_batches(spark)
     rows = labelled.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(label).alias("label")).filter("text IS NOT NULL AND label IS NOT NULL")
 
     def frequency(batches):
@@ -148,6 +150,7 @@ def identify(documents: DataFrame, model: Model, *, doc_id: str = "doc_id", text
 
     Null text or text without a letter: `und`, score 0, rejected. Whole texts count; repeated rows
     and null ids get a row each; other columns are ignored; an empty table gives no rows."""
+    bound_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *[F.col(k) for k in keep])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]

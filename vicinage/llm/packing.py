@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .batches import bound_batches
 
 CAPACITY = 4096
 #: Buckets that the pieces of one length are ranked in.
@@ -103,6 +104,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(documents: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` ids of every document (null text: empty); only longer documents
     are cut. A document always has the end id, so every row gives at least one piece."""
+    bound_batches(documents.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches):

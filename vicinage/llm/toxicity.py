@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .batches import bound_batches
 from .sampling import smallest_hashes
 from .words import U64, buffers, word_hashes
 
@@ -179,6 +180,7 @@ def score(documents: DataFrame, model: Severity, *, doc_id: str = "doc_id", text
 
     Null, empty and wordless texts get the grade of a text without features; whole texts count;
     repeated rows and null ids get a row each; other columns are ignored; an empty table, none."""
+    bound_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def grade(batches):

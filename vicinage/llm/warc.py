@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import filesystem, fresh_path, local_path, materialize
+from .batches import bound_batches
 
 # Fixed values of the seekable format and of WARC 1.1.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -175,6 +176,8 @@ def write_warc(pages: DataFrame, folder: str, *, page_id: str = "page_id", html:
     if "url" not in pages.columns:
         pages = pages.withColumn("url", F.lit(None).cast("string"))
 
+    bound_batches(pages.sparkSession)
+
     def write(batches):
         store, root = filesystem(folder)
         writer, out = BundleWriter(frame_bytes), []
