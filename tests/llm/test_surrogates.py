@@ -50,6 +50,17 @@ def test_surrogates_keep_type_and_format():
                 assert S._luhn(v) == S._luhn(n)
 
 
+def test_accounts_tokens_and_ipv6():
+    text = "IBAN DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, not GB00WEST12345698765432; ghp_abcdEFGH1234567890abcd and 2001:0db8:85a3:0000:0000:8a2e:0370:7334."
+    found = kinds(text)
+    assert [k for k, _ in found] == ["iban", "iban", "key", "ipv6"]
+    for kind, value in found:
+        new = S.replace_value(KEY, kind, value)
+        assert new != value and len(new) == len(value)
+        if kind == "iban":
+            assert S._mod97(new) and new[:2] == value[:2] and [i for i, c in enumerate(new) if c == " "] == [i for i, c in enumerate(value) if c == " "]
+
+
 def test_coreference_across_formats():
     a, b = S.replace_value(KEY, "phone", "+1 (988) 555-2485"), S.replace_value(KEY, "phone", "988-555-2485")
     assert re.sub(r"\D", "", a)[-10:] == re.sub(r"\D", "", b)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .batches import bound_batches
 
 #: Distinct names up to which the checked table is broadcast; it is joined beyond.
 BROADCAST_NAMES = 200_000
@@ -38,6 +39,11 @@ _PLUS = re.compile(r"(?<![\w.+-])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\) ?|\d{2,
 _LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}$")
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<key>[A-Z0-9]{16})(?![A-Za-z0-9])")
+# How well-known kinds of access token begin.
+_TOKEN_STARTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "sk-", "xoxb-", "xoxp-", "xoxa-", "AIza", "eyJ")
+_TOKEN = re.compile(r"(?<![\w-])(?:" + "|".join(_TOKEN_STARTS) + r")(?P<key>[A-Za-z0-9_.-]{16,500}[A-Za-z0-9_-])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+_IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
 _LABEL = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}$")
 _SECRET = re.compile(r"\s{0,3}[\"']?(?P<secret>[A-Za-z0-9_+/.-]{6,200})")
 _NAME = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")(\.? )((?:[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[-'][^\W\d_]+)?)(?: (?:[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[-'][^\W\d_]+)?))?)")
@@ -50,6 +56,12 @@ class Entity(NamedTuple):
     value: str
 
 
+def _mod97(iban: str) -> bool:
+    """Whether the check digits of an account number are right."""
+    raw = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1
+
+
 def detect(text: str) -> list[Entity]:
     """Entities of a whole text in order, none overlapping; the longer of two that begin together."""
     found = []
@@ -67,6 +79,11 @@ def detect(text: str) -> list[Entity]:
         found += [Entity(m.start(), m.end(), "phone", m[0]) for m in _PLUS.finditer(text)]
     if "AKIA" in text or "ASIA" in text:
         found += [Entity(m.start("key"), m.end("key"), "key", m["key"]) for m in _KEY.finditer(text)]
+    if any(start in text for start in _TOKEN_STARTS):
+        found += [Entity(m.start("key"), m.end("key"), "key", m["key"]) for m in _TOKEN.finditer(text) if any(c.isdigit() for c in m["key"])]
+    found += [Entity(m.start(), m.end(), "iban", m[0]) for m in _IBAN.finditer(text) if _mod97(m[0])]
+    if text.count(":") > 6:
+        found += [Entity(m.start(), m.end(), "ipv6", m[0]) for m in _IPV6.finditer(text)]
     for mark in "=:":
         at = text.find(mark)
         while at >= 0:
@@ -158,6 +175,14 @@ def replace_value(key: bytes, kind: str, value: str) -> str:
     if kind == "phone":  # the country code stays; the same number without it gets the same surrogate
         tail = digits[-10:] if len(digits) >= 10 else digits
         return _refill(value, digits[: len(digits) - len(tail)] + permute_string(key, "phone", tail))
+    if kind == "iban":  # the country stays, and the check digits are right again
+        raw = value.replace(" ", "")
+        body = permute_string(key, "iban|" + raw[:2], raw[4:])
+        check = 98 - int("".join(str(int(c, 36)) for c in body + raw[:2] + "00")) % 97
+        rest = iter(f"{raw[:2]}{check:02d}{body}")
+        return "".join(c if c == " " else next(rest) for c in value)
+    if kind == "ipv6":
+        return permute_string(key, "ipv6", value.lower(), hexadecimal=True)
     plain = len(value) >= 12 and all(c in "0123456789abcdef" for c in value)
     return permute_string(key, kind + ("|hex" if plain else ""), value, hexadecimal=plain)
 
@@ -237,6 +262,7 @@ def pseudonymize(documents: DataFrame, key: bytes, *, doc_id: str = "doc_id", te
     byte for byte; repeated rows get the same result; ties cannot occur, for entities do not overlap;
     rows without doc_id are rewritten too; an empty table gives no rows."""
     spark = documents.sparkSession
+    bound_batches(spark)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *[F.col(k) for k in keep])
 
     def names_in(batches):
