@@ -7,6 +7,8 @@ digits in both. Dense points are `embeddings`; `sparse_emb` are its entries abov
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 from functools import cache
 
@@ -18,7 +20,8 @@ from ..functions import sparse, vectors
 from ..operators import exchange, merge, metrics, search, tree
 from ..operators.directions import directions_frame, make_directions, orthoproj
 from ..operators.forest import Forest
-from ..sources import generators
+from ..sources import generators, readers, writers
+from ..storage import fresh_path, local_path
 
 K, LEVELS, TREES, WIDTH, NQ = 8, 3, 3, 64, 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -555,6 +558,61 @@ def slice_rows(spark, sf_dir):
     return exchange.block(rows, "id", 50, 150)
 
 
+# ---- files: written, then read back --------------------------------------------------------------
+
+ENTRIES = f"WITH {S} SELECT id, CAST(col AS INTEGER) AS col, round(CAST(CAST(val AS FLOAT) AS DOUBLE), 6) AS val FROM s"
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder that the driver can write one-file formats to."""
+    path = local_path(fresh_path(spark, "files"))
+    if path is None:
+        path = tempfile.mkdtemp(prefix="vicinage-files-")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+def _entries(df: DataFrame) -> DataFrame:
+    return df.select("id", "col", F.round(F.col("val").cast("double"), 6).alias("val"))
+
+
+@query(ENTRIES)
+def read_svm(spark, sf_dir):
+    path = fresh_path(spark, "svm")
+    points = sparse_emb(spark, sf_dir)
+    writers.write_svm(points.withColumn("val", F.col("val").cast("float")), path)
+    return _entries(readers.read_svm(spark, path, WIDTH))
+
+
+@query(ENTRIES)
+def read_csr_binary(spark, sf_dir):
+    path = f"{_folder(spark)}/points.bin"
+    writers.write_csr_binary(sparse_emb(spark, sf_dir), path, dense(spark, sf_dir).count(), WIDTH)
+    return _entries(readers.read_csr_binary(spark, f"file://{path}"))
+
+
+@query(ENTRIES)
+def read_csr_text(spark, sf_dir):
+    path = f"{_folder(spark)}/points.txt"
+    writers.write_csr_text(sparse_emb(spark, sf_dir), path, dense(spark, sf_dir).count(), WIDTH)
+    return _entries(readers.read_csr_text(spark, f"file://{path}"))
+
+
+@query("SELECT vec_id AS id, i - 1 AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS val FROM embeddings, range(1, 65) t(i)")
+def read_fvecs(spark, sf_dir):
+    path = f"{_folder(spark)}/points.fvecs"
+    writers.write_fvecs(dense(spark, sf_dir), path)
+    out = readers.read_fvecs(spark, f"file://{path}", WIDTH).select("id", F.posexplode("embedding").alias("pos", "val"))
+    return rounded(out.select("id", F.col("pos").cast("long").alias("pos"), F.col("val").cast("double").alias("val")), "val")
+
+
+@query(f"WITH {P} {ranked(EXACT)}")
+def read_truth(spark, sf_dir):
+    path = fresh_path(spark, "truth")
+    writers.write_matrix_text(exact_knn(spark, sf_dir), path)
+    return readers.read_truth_text(spark, path)
+
+
 # ---- rows only ----------------------------------------------------------------------------------
 
 

@@ -27,7 +27,8 @@ def write_matrix_text(table: DataFrame, path: str) -> None:
     ids = held.select(F.lit(1).alias("part"), "query_id", F.array_join(F.transform("x", lambda n: n["neighbor_id"].cast("string")), " ").alias("value"))
     dists = held.select(F.lit(2).alias("part"), "query_id", F.array_join(F.transform("x", lambda n: n["dist"].cast("string")), " ").alias("value"))
     head = held.agg(F.concat_ws(" ", F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(0))).alias("value")).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("query_id"), "value")
-    head.unionByName(ids).unionByName(dists).orderBy("part", "query_id").select("value").write.text(path)
+    lines = head.unionByName(ids).unionByName(dists).orderBy("part", "query_id").select("value")
+    lines.coalesce(1).write.text(path)  # the format is one file
 
 
 def csr_arrays(points: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,6 +52,14 @@ def write_csr_text(points: DataFrame, path: str, rows: int, width: int) -> None:
             f.write(" ".join(map(str, line)) + "\n")
 
 
+def write_fvecs(points: DataFrame, path: str) -> None:
+    """Dense points (id, embedding) in id order as records on a mounted path; larger sets belong in
+    Parquet."""
+    with open(path, "wb") as f:
+        for r in points.select("id", F.col("embedding").cast("array<float>").alias("e")).orderBy("id").toLocalIterator():
+            f.write(struct.pack("<i", len(r.e)) + np.asarray(r.e, "<f4").tobytes())
+
+
 def write_sparse(points: DataFrame, path: str) -> None:
     """Sparse entries as Parquet, the form that scales."""
     points.write.parquet(path)
