@@ -1,7 +1,9 @@
-"""Column expressions on dense vectors (arrays), in double precision."""
+"""Column expressions on dense vectors (arrays), in double precision, and their Arrow form."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,13 @@ def validate(df: DataFrame, vector: str, width: int | None = None) -> int:
     if row["bad"] or row["low"] != row["high"] or (width is not None and row["low"] not in (None, width)):
         raise ValueError(f"vectors are not all of one length: {row.asDict()}, wanted {width}")
     return row["low"] or 0
+
+
+def matrix(column) -> np.ndarray:
+    """A list column of equal lengths as a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if len(column) and len(flat) % len(column):
+        raise ValueError("vectors are not all of one length")
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)

@@ -15,16 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import doubles
+from ..functions.vectors import matrix
 from ..storage import materialize
 from . import metrics, search
 from .directions import make_directions
 from .exchange import sample_rows
 from .merge import merge_neighbors, top_k
 from .monitor import Profiler, Recorder, SearchError
-from .tree import NODE_ROWS, assign_leaves, bin_queries, local_leaves, node_medians, project_dense, project_sparse, tree_levels
+from .tree import NODE_ROWS, assign_leaves, bin_queries, local_leaves, node_medians, project_blocks, project_dense, project_sparse, tree_levels
 
-#: Rows up to which one task builds a whole tree and searches its leaves.
+#: Rows of a node up to which one task splits it further and searches its leaves.
 FUSED_ROWS = 50_000
 
 
@@ -39,7 +39,7 @@ class Forest:
         self.sparse = {"col", "val"} <= set(points.columns)
         if not self.sparse and "embedding" not in points.columns:
             raise SearchError("points need (id, embedding) or (id, col, val)")
-        self.points = points.select("id", "col", "val") if self.sparse else points.select(F.col("id").cast("long").alias("id"), doubles("embedding").alias("embedding"))
+        self.points = points.select("id", "col", "val") if self.sparse else points.select(F.col("id").cast("long").alias("id"), "embedding")
         self.ids = (ids if ids is not None else points).select("id").distinct() if self.sparse else points.select("id")
         self.n = self.ids.count()
         if self.n == 0:
@@ -67,29 +67,38 @@ class Forest:
         d = self.directions(tree)
         return project_sparse(self.points, d, self.ids) if self.sparse else project_dense(self.points, d)
 
-    def leaves(self, trees: list[int]) -> DataFrame:
-        """(tree, id, leaf_id) of several trees, whose levels are split together."""
-        rows = None
-        for t in trees:
-            own = self.projected(t).select(F.lit(t).alias("tree"), "id", "proj")
-            rows = own if rows is None else rows.unionByName(own)
-        return assign_leaves(rows, self.levels, ("tree",), self.node_rows)
+    def leaves(self, trees: list[int], levels: int | None = None) -> DataFrame:
+        """(tree, id, leaf_id) of several trees, whose levels are split together; with ``levels`` the
+        nodes of that depth."""
+        levels = self.levels if levels is None else levels
+        if self.sparse:
+            rows = None
+            for t in trees:
+                own = self.projected(t).select(F.lit(t).alias("tree"), "id", "proj")
+                rows = own if rows is None else rows.unionByName(own)
+        else:
+            rows = project_blocks(self.points, {t: self.directions(t)[:levels] for t in trees})
+        return assign_leaves(rows, levels, ("tree",), self.node_rows)
 
     def candidates(self, trees: list[int], k: int, include_self: bool = True) -> DataFrame:
-        """(query_id, neighbor_id, dist): the k nearest of each point within its leaf of each tree."""
+        """(query_id, neighbor_id, dist): the k nearest of each point within its leaf of each tree.
+
+        Dense trees are split level by level until a node fits a task (``fused_rows``); there the rest
+        of its levels are split and its leaves searched where its rows meet, after one shuffle."""
         if self.sparse:
             return search.leaf_knn_sparse(self.points, self.leaves(trees), k, group=("tree", "leaf_id"), include_self=include_self).drop("rank")
-        if self.n <= self.fused_rows:
-            return self._fused(trees, k, include_self)
-        members = self.leaves(trees).join(self.points, "id")
-        return search.leaf_pairs(members, k, ("tree", "leaf_id"), include_self)
-
-    def _fused(self, trees: list[int], k: int, include_self: bool) -> DataFrame:
-        """Trees small enough for a task: built and searched where their rows meet, one shuffle."""
-        directions, levels = {t: self.directions(t) for t in trees}, self.levels
+        top = 0
+        while top < self.levels and self.n / 2**top > self.fused_rows:
+            top += 1
+        if top:
+            members = self.leaves(trees, top).join(self.points, "id")
+        else:  # a partition a tree: hashing a few tree numbers would put several trees into one task
+            members = self.points.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in trees]))).withColumn("leaf_id", F.lit(0).cast("long"))
+            members = members.repartitionByRange(len(trees), "tree") if len(trees) > 1 else members
+        directions, levels = {t: self.directions(t)[top:] for t in trees}, self.levels - top
 
         def grow(table: pa.Table) -> pa.Table:
-            ids, x = table.column("id").to_numpy(), search.matrix(table.column("embedding"))
+            ids, x = table.column("id").to_numpy(), matrix(table.column("embedding"))
             leaf = local_leaves(x @ directions[table.column("tree")[0].as_py()].T, ids, levels)
             order = np.argsort(leaf, kind="stable")
             parts = []
@@ -97,10 +106,7 @@ class Forest:
                 parts += [search.nearest(ids[rows[a : a + 512]], x[rows[a : a + 512]], ids[rows], x[rows], k, include_self) for a in range(0, len(rows), 512)]
             return pa.table({name: np.concatenate(c) for name, c in zip(("query_id", "neighbor_id", "dist"), zip(*parts))})
 
-        # A partition a tree: hashing a few tree numbers would put several trees into one task.
-        numbered = self.points.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in trees])))
-        spread = numbered.repartitionByRange(len(trees), "tree") if len(trees) > 1 else numbered
-        return spread.groupBy("tree").applyInArrow(grow, search.PAIRS)
+        return members.select("tree", "leaf_id", "id", "embedding").groupBy("tree", "leaf_id").applyInArrow(grow, search.PAIRS)
 
     def _recall(self, truth: DataFrame, found: DataFrame) -> float:
         return metrics.recall_distance(truth, found, 1e-9).first()[0]
@@ -148,7 +154,7 @@ class Forest:
         the nodes' medians and searched in the leaf it comes to."""
         if self.sparse:
             raise SearchError("queries are routed through dense forests only")
-        asked = queries.select(F.col("id").cast("long").alias("id"), doubles("embedding").alias("embedding"))
+        asked = queries.select(F.col("id").cast("long").alias("id"), "embedding")
         tables = []
         for t in range(ntrees):
             projected, directions = self.projected(t), self.directions(t)

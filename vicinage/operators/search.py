@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sparse
-from ..functions.vectors import doubles, sqdist
+from ..functions.vectors import doubles, matrix, sqdist
 from .exchange import global_rank
 from .merge import top_k
 
@@ -35,16 +35,6 @@ def _check(k: int) -> None:
         raise ValueError("k must be at least 1")
 
 
-def matrix(column) -> np.ndarray:
-    """A list column of equal lengths as a matrix of doubles."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if len(column) and len(flat) % len(column):
-        raise ValueError("vectors are not all of one length")
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
 def nearest(q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, k: int, include_self: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, neighbour ids, squared distances), up to k a query, nearest first.
 
@@ -102,13 +92,23 @@ def exact_knn(queries: DataFrame, points: DataFrame, k: int, *, id_col: str = "i
         return finish(top_k(pairs.select("query_id", "neighbor_id", sqdist("q_e", "p_e").alias("dist")), k), metric)
     if engine != "blocks":
         raise ValueError("engine must be blocks or sql")
+    # A grid of cells: each block of queries goes to every column of cells, each block of points to every
+    # row, so cells are tasks of equal work and no key gathers a side.
+    target = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = max(1, min(-(-points.count() // POINT_BLOCK), target))
+    down = max(1, min(-(-queries.count() // QUERY_BLOCK), -(-target // across)))
     q = blocks(queries, QUERY_BLOCK, id_col, embedding).select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
-    pairs = blocks(points, POINT_BLOCK, id_col, embedding).join(q, F.col("width") == F.col("q_width"))
+    q = q.withColumn("row", F.pmod(F.xxhash64("q_ids"), F.lit(down))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    p = blocks(points, POINT_BLOCK, id_col, embedding)
+    p = p.withColumn("column", F.pmod(F.xxhash64("ids"), F.lit(across)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+    pairs = p.join(q, ["row", "column"])
 
     def meet(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if r["width"] != r["q_width"]:
+                    raise ValueError(f"vectors of {r['q_width']} and of {r['width']} components")
                 p_ids, q_ids = (np.frombuffer(r[c], np.int64) for c in ("ids", "q_ids"))
                 p, x = (np.frombuffer(r[c], np.float64).reshape(-1, r["width"]) for c in ("data", "q_data"))
                 for at in range(0, len(q_ids), 256):
@@ -167,7 +167,7 @@ def leaf_pairs(members: DataFrame, k: int, group: tuple[str, ...] = ("leaf_id",)
         parts = [nearest(ids[a : a + 512], x[a : a + 512], ids, x, k, include_self) for a in range(0, len(ids), 512)]
         return pa.Table.from_batches([_batch(p) for p in parts])
 
-    rows = members.select(*group, F.col("id").cast("long").alias("id"), doubles("embedding").alias("embedding"))
+    rows = members.select(*group, F.col("id").cast("long").alias("id"), "embedding")
     return rows.groupBy(*group).applyInArrow(search, PAIRS)
 
 
@@ -196,7 +196,7 @@ def leaf_knn_queries(queries: DataFrame, members: DataFrame, k: int, *, metric:
         return pa.Table.from_batches([_batch(nearest(q_ids[a : a + 512], x[a : a + 512], p_ids, y, k)) for a in range(0, len(q_ids), 512)])
 
     def side(df: DataFrame):
-        return df.select("leaf_id", F.col("id").cast("long").alias("id"), doubles("embedding").alias("embedding")).groupBy("leaf_id")
+        return df.select("leaf_id", F.col("id").cast("long").alias("id"), "embedding").groupBy("leaf_id")
 
     return finish(top_k(side(queries).cogroup(side(members)).applyInArrow(search, PAIRS), k), metric)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sparse
-from ..functions.vectors import doubles, dot
+from ..functions.vectors import doubles, dot, matrix
 from .directions import directions_frame
 from .exchange import global_rank, ordered_sizes
 
@@ -33,6 +34,23 @@ def project_dense(points: DataFrame, directions: np.ndarray, embedding: str = "e
     return points.select(*keep, F.array(*[dot(e, F.array(*[F.lit(float(v)) for v in d])) for d in directions]).alias("proj"))
 
 
+def project_blocks(points: DataFrame, directions: dict[int, np.ndarray]) -> DataFrame:
+    """(tree, id, proj) of several trees: one pass over (id, embedding), a matrix product a batch."""
+    stacked = np.concatenate([d for d in directions.values()])
+    cuts = np.cumsum([0] + [len(d) for d in directions.values()])
+
+    def project(batches):
+        for batch in batches:
+            x = matrix(batch.column("embedding")) @ stacked.T
+            for k, t in enumerate(directions):
+                own = np.ascontiguousarray(x[:, cuts[k] : cuts[k + 1]])
+                offsets = np.arange(len(own) + 1, dtype=np.int32) * own.shape[1]
+                proj = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), batch.column("id"), proj], ["tree", "id", "proj"])
+
+    return points.select("id", "embedding").mapInArrow(project, "tree int, id long, proj array<double>")
+
+
 def project_sparse(points: DataFrame, directions: np.ndarray, ids: DataFrame | None = None) -> DataFrame:
     """(id, proj) of sparse points (id, col, val); ids (id) adds rows without entries, at 0."""
     levels = len(directions)

@@ -8,7 +8,6 @@ digits in both. Dense points are `embeddings`; `sparse_emb` are its entries abov
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 from functools import cache
 
@@ -567,7 +566,7 @@ def _folder(spark: SparkSession) -> str:
     """A fresh folder that the driver can write one-file formats to."""
     path = local_path(fresh_path(spark, "files"))
     if path is None:
-        path = tempfile.mkdtemp(prefix="vicinage-files-")
+        raise NotImplementedError("formats of one file are written by the driver to a mounted shared folder")
     os.makedirs(path, exist_ok=True)
     return path
 
