@@ -1,0 +1 @@
+"""No operator streams: all of them need the whole set of points."""
