@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,7 +19,7 @@ def connect(sf_dir):
 
 def _rows(frame):
     frame = frame[sorted(frame.columns)]
-    out = [tuple(None if v is None or v != v else round(v, 9) if isinstance(v, float) else v for v in row) for row in frame.astype(object).itertuples(index=False)]
+    out = [tuple(None if pd.isna(v) else round(v, 9) if isinstance(v, float) else v for v in row) for row in frame.astype(object).itertuples(index=False)]
     return sorted(out, key=lambda r: tuple((v is not None, v) for v in r))
 
 
