@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import bound_batches
+from .batches import bound_batches, release
 from .components import components
 from ..storage import materialize
 from .words import U64, buffers, mix, shingle_sets, word_hashes
@@ -38,7 +38,7 @@ OFTEN = 2000
 #: Comparisons a row of the last round may cost before more sets are linked by leaders first.
 COMPARED = 256
 #: Hashes that a task holds at a time.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def set_name(s: np.ndarray) -> np.uint64:
@@ -114,6 +114,7 @@ def frequent_shingles(documents: DataFrame, width: int) -> np.ndarray:
                 yield out(held, total)
                 held, total = [], 0
         yield out(held, total)
+        release()
 
     def out(held, total):
         s = np.sort(np.concatenate([*held, np.zeros(0, U64)]))
@@ -168,6 +169,7 @@ def _find(documents: DataFrame, width: int) -> DataFrame:
                 keys, key_nodes = [], []
         if keys:
             yield from packed_rows(keys, key_nodes)
+        release()
 
     def packed_rows(keys, key_nodes):
         sig, node = np.concatenate(keys), np.concatenate(key_nodes)
@@ -222,6 +224,7 @@ def _find(documents: DataFrame, width: int) -> DataFrame:
             size = np.bincount(run, minlength=1)[run] if len(run) else run
             live = size > 1
             yield out(1, pa.array(key[live]), None, None, _longs(node[live]))
+        release()
 
     packed = documents.mapInArrow(sketches, schema).repartition(parts, "part")
     return materialize(packed.mapInArrow(shared, "kind int, sig long, doc_id long, n long, node long"), "signatures")
@@ -245,6 +248,7 @@ def _candidate_sets(documents: DataFrame, nodes: DataFrame, count: int, width: i
                 shingles = pa.ListArray.from_arrays(pa.array(offsets), _longs(np.concatenate([s for _, s in kept])))
                 marks = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate([sketch(s) for _, s in kept])))
                 yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in kept], pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), marks, shingles], ["node", "n", "sketch", "shingles"])
+        release()
 
     sets = materialize(picked.mapInArrow(build, "node long, n long, sketch array<long>, shingles array<long>"), "sets")
     if sets.count() > count:  # rows that repeat a document

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import bound_batches
+from .batches import bound_batches, release
 from .sampling import smallest_hashes
 
 #: Features, and characters of a very long text that are counted at a time.
@@ -162,6 +162,7 @@ def identify(documents: DataFrame, model: Model, *, doc_id: str = "doc_id", text
                 names, score, rejected = sent.value.predict(_texts(part.column("_text")))
                 kept = part.drop_columns(["_text"])
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], [*kept.schema.names, "lang_pred", "score", "rejected"])
+        release()
 
     return rows.mapInArrow(label, ", ".join([*fields, "lang_pred string", "score double", "rejected boolean"]))
 

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .batches import bound_batches
+from .batches import bound_batches, release
 
 CAPACITY = 4096
 #: Buckets that the pieces of one length are ranked in.
 SALTS = 64
 #: Chunks kept in a worker's cache of encoded chunks.
-CACHE = 1_000_000
+CACHE = 400_000
 _MARKS = frozenset(b".,!?;:|")
 
 
@@ -120,6 +120,7 @@ def pieces(documents: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text
                         rows.append((ident, k, start // 4, len(chunk) // 4, zlib.crc32(chunk)))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).mapInArrow(cut, PIECES)
 

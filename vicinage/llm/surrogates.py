@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .batches import bound_batches
+from .batches import bound_batches, release
 
 #: Distinct names up to which the checked table is broadcast; it is joined beyond.
 BROADCAST_NAMES = 200_000
@@ -305,6 +305,7 @@ def pseudonymize(documents: DataFrame, key: bytes, *, doc_id: str = "doc_id", te
                     texts.append(new)
                     spans.append([{"kind": e.kind.split(":")[0], "start": e.start, "end": e.end, "surrogate": e.value} for e in found])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(texts, pa.string()), pa.array(spans, kind)], [*columns, "text", "entities"])
+        release()
 
     return source.mapInArrow(rewritten, ", ".join([*fields, "text string", f"entities {SPANS}"]))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .batches import bound_batches
+from .batches import bound_batches, release
 from .sampling import smallest_hashes
 from .words import U64, buffers, word_hashes
 
@@ -189,6 +189,7 @@ def score(documents: DataFrame, model: Severity, *, doc_id: str = "doc_id", text
                 part = batch.slice(at, 512)
                 above = sent.value.grades(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(above[:, -1]), pa.array(above[:, 0] >= 0.5)], ["doc_id", "severity", "p_toxic", "p_severe", "is_toxic"])
+        release()
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(grade, "doc_id long, severity double, p_toxic double, p_severe double, is_toxic boolean")
