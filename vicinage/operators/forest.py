@@ -159,7 +159,8 @@ class Forest:
         for t in range(ntrees):
             projected, directions = self.projected(t), self.directions(t)
             leaves = materialize(assign_leaves(projected, self.levels, (), self.node_rows), "leaves")
-            bins = bin_queries(project_dense(asked, directions), node_medians(projected, leaves, self.levels), self.levels)
+            medians = materialize(node_medians(projected, leaves, self.levels), "medians")  # read once a level
+            bins = bin_queries(project_dense(asked, directions), medians, self.levels)
             tables.append(search.leaf_knn_queries(bins.join(asked, "id"), leaves.join(self.points, "id"), k))
         return search.finish(merge_neighbors(*tables, k=k), metric)
 

@@ -131,15 +131,14 @@ def node_medians(projected: DataFrame, leaves: DataFrame, levels: int) -> DataFr
 
 
 def bin_queries(projected: DataFrame, medians: DataFrame, levels: int) -> DataFrame:
-    """(id, leaf_id): the leaf that each projected query falls into. Medians are a row a node; they
-    travel as one map. A child without a median (an empty right half) sends its queries left."""
-    table = medians.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("level", "node"), F.col("median")))).alias("medians"))
-    rows = projected.select("id", "proj").join(F.broadcast(table), F.lit(True))
-    leaf = F.lit(0).cast("long")
-    rows = rows.withColumn("leaf_id", leaf)
+    """(id, leaf_id): the leaf that each projected query falls into. Each level is an equi-join with
+    that level's medians, a row a node, which Spark broadcasts while they are few. A node without a
+    median (an empty right half) sends its queries left."""
+    rows = projected.select("id", "proj", F.lit(0).cast("long").alias("leaf_id"))
     for level in range(levels):
-        median = F.element_at("medians", F.struct(F.lit(level).alias("level"), F.col("leaf_id").alias("node")))
-        rows = rows.withColumn("leaf_id", F.col("leaf_id") * 2 + F.coalesce((F.element_at("proj", level + 1) >= median).cast("long"), F.lit(0)))
+        own = medians.filter(F.col("level") == level).select(F.col("node").alias("_node"), F.col("median").alias("_median"))
+        right = F.coalesce((F.element_at("proj", level + 1) >= F.col("_median")).cast("long"), F.lit(0))
+        rows = rows.join(own, F.col("leaf_id") == F.col("_node"), "left").select("id", "proj", (F.col("leaf_id") * 2 + right).alias("leaf_id"))
     return rows.select("id", "leaf_id")
 
 
