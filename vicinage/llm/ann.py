@@ -20,6 +20,8 @@ from .topk import align, matrix, ranked, vectors, waves
 
 #: Trees of a forest, bits of a string, rows of a shard at most.
 TREES, BITS, SHARD = 64, 24, 1 << 15
+#: Queries that a forest answers once it is built; more go out in further rounds.
+QUERIES = 1 << 14
 #: Matches, counted in every tree, at which the ascent stops: this share of the shard and this many
 #: more. Vectors without structure need such a share; see the README for recall against it.
 SHARE, MORE = 0.8, 2000
@@ -98,7 +100,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, *, vec_id: s
     nonzero = F.exists("embedding", lambda x: x != 0)
     rows = vectors(candidates, vec_id, embedding).filter(nonzero)
     result = None
-    for ids, q in waves(vectors(queries, vec_id, embedding).filter(nonzero)):
+    for ids, q in waves(vectors(queries, vec_id, embedding).filter(nonzero), QUERIES):
         sent = spark.sparkContext.broadcast((ids, q))
 
         def search(batches, sent=sent):
