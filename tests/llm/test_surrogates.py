@@ -20,7 +20,8 @@ def test_detection():
         ("email", "bo.bt+1@mail8.example.com"), ("phone", "+1 (988) 555-2485"), ("phone", "(555) 123-4567"), ("card", "4041894974608795"), ("card", "4111 1111 1111 1111"), ("ip", "70.123.182.155"),
         ("ssn", "123-45-6789"), ("key", "MD62HKU6VBLCCCCE"), ("secret", "e3b3ed3cc8548923d6"), ("secret", "0641917ea4e9feb9cda83477b57ac2654884f485"), ("name:m", "John Smith"),
     ]
-    for clean in ("Version 2.0. of 1999", "a@b", "the token was lost", "999.1.1.1", "It cost 12 345 in 2020-01-02.", "e = mc2", "section 4.3.2.1.5"):
+    assert kinds("tel +33 1 23 45 67 89, +442071234567 and +49 (30) 1234-5678.") == [("phone", "+33 1 23 45 67 89"), ("phone", "+442071234567"), ("phone", "+49 (30) 1234-5678")]
+    for clean in ("+1 2 3", "Version 2.0. of 1999", "a@b", "the token was lost", "999.1.1.1", "It cost 12 345 in 2020-01-02.", "e = mc2", "section 4.3.2.1.5"):
         assert kinds(clean) == [], clean
 
 

@@ -35,7 +35,7 @@ SYLLABLES = {
 ENDINGS = {("latin", "m"): "n", ("latin", "f"): "a", ("latin", "n"): "l", ("cyrillic", "m"): "н", ("cyrillic", "f"): "а", ("cyrillic", "n"): "ль", ("greek", "m"): "ς", ("greek", "f"): "α", ("greek", "n"): "ν"}
 
 _NUMBER = re.compile(r"(?<![\w.+-])(?:(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w-]|\.\d)|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])|(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|\+\d{7,15})(?![\w-]))")
-_PLUS = re.compile(r"(?<![\w.+-])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|\+\d{7,15}|\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4})(?![\w-])")
+_PLUS = re.compile(r"(?<![\w.+-])(?P<phone>\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,4})){2,6}|\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4})(?![\w-])")
 _LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}$")
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<key>[A-Z0-9]{16})(?![A-Za-z0-9])")
@@ -76,7 +76,7 @@ def detect(text: str) -> list[Entity]:
         if kind != "ip" or all(int(x) < 256 for x in m["ip"].split(".")):
             found.append(Entity(m.start(), m.end(), kind, m[0]))
     if "+" in text or "(" in text:
-        found += [Entity(m.start(), m.end(), "phone", m[0]) for m in _PLUS.finditer(text)]
+        found += [Entity(m.start(), m.end(), "phone", m[0]) for m in _PLUS.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 15]
     if "AKIA" in text or "ASIA" in text:
         found += [Entity(m.start("key"), m.end("key"), "key", m["key"]) for m in _KEY.finditer(text)]
     if any(start in text for start in _TOKEN_STARTS):
