@@ -24,12 +24,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vicinage/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, and a lost
-    executor costs at most the tasks that were running."""
+    executor costs at most the tasks that were running. With ``parts``, from a known number of rows,
+    into no more files than that, instead of one of a few rows from each task."""
     spark = df.sparkSession
+    df = df if parts is None else df.coalesce(max(1, parts))
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
