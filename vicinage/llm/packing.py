@@ -26,6 +26,8 @@ from .batches import bound_batches, release
 CAPACITY = 4096
 #: Buckets that the pieces of one length are ranked in.
 SALTS = 64
+#: Pieces that a task places at least, if there are so many.
+PART_ROWS = 20_000
 #: Chunks kept in a worker's cache of encoded chunks.
 CACHE = 400_000
 _MARKS = frozenset(b".,!?;:|")
@@ -253,7 +255,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "lengths")
+    counts = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "lengths", 8)  # a row a length and salt at most
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     places: dict[int, tuple[list[int], list[int], list[int]]] = defaultdict(lambda: ([], [], []))
     for length, first, _, sequence, offset in slots(packing_plan(histogram, capacity)):
@@ -278,7 +280,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offset[own] = at[k]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked.coalesce(1 + sum(histogram.values()) // PART_ROWS).mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
