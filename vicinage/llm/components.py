@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", parts: int | None = None) -> DataFrame:
     """(node, label) of every node of ``links``; label is the smallest node of its component.
 
     Every node takes the smallest label next to it, then the label of its label (which halves long
     chains), until nothing changes. Minima are combined before each shuffle, so a node with very
-    many links is no hot key; nothing is collected."""
+    many links is no hot key; nothing is collected. ``parts``: files of the tables in between, if their size is known."""
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    edges = materialize(edges.union(edges.select("v", "u")).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
+    edges = materialize(edges.union(edges.select("v", "u")).distinct(), "edges", parts)
+    labels = materialize(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels", parts)
     while True:
         near = edges.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("of"), F.col("label").alias("further"))
-        moved = materialize(step.join(jump, F.col("label") == F.col("of"), "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        moved = materialize(step.join(jump, F.col("label") == F.col("of"), "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels", parts)
         labels = moved.select("node", "label")
         if moved.filter("was <> label").isEmpty():
             return labels

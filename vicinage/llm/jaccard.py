@@ -39,6 +39,8 @@ OFTEN = 2000
 COMPARED = 256
 #: Hashes that a task holds at a time.
 HELD = 1_000_000
+#: Rows of a file of the tables between the rounds.
+PART_ROWS = 200_000
 
 
 def set_name(s: np.ndarray) -> np.uint64:
@@ -256,7 +258,7 @@ def _candidate_sets(documents: DataFrame, nodes: DataFrame, count: int, width: i
     return sets
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, similarity: int, parts: int) -> DataFrame:
     """The pairs (a, b) that link, tested by size, by sketch, then on the whole sets."""
     def side(name: str, columns: tuple[str, ...]) -> DataFrame:
         return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
@@ -265,11 +267,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     near = pairs.join(side("a", ("n", "sketch")), "a").join(side("b", ("n", "sketch")), "b")
     near = near.filter((large * similarity <= small * 100) & (distance * (100 + similarity) <= (F.col("n_a") + F.col("n_b")) * (100 - similarity)))
-    near = materialize(near.select("a", "b"), "near")
+    near = materialize(near.select("a", "b"), "near", parts)
     both = near.join(side("a", ("shingles",)), "a").join(side("b", ("shingles",)), "b")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     union = F.size("shingles_a") + F.size("shingles_b") - common
-    return materialize(both.filter(common * 100 >= union * similarity).select("a", "b"), "links")
+    return materialize(both.filter(common * 100 >= union * similarity).select("a", "b"), "links", parts)
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -293,15 +295,16 @@ def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     members = found.filter("kind = 1").select("sig", "node").distinct()
     leaders = members.groupBy("sig").agg(F.min("node").alias("lead"))
     members = materialize(members.join(leaders, "sig"), "members")
+    parts = 1 + members.count() // PART_ROWS  # no table of the rounds has more rows than members
     live = members.select("node").distinct()
     # A document without an id cannot be fetched by it; its set then rests on equal sets alone.
-    live = materialize(live.join(nodes.filter("first IS NOT NULL"), "node"), "live")
+    live = materialize(live.join(nodes.filter("first IS NOT NULL"), "node"), "live", parts)
     count = live.count()
     if count == 0:
         labels = None
     else:
         sets = _candidate_sets(rows, live, count, width)
-        labels = _link_rounds(members, sets, similarity)
+        labels = _link_rounds(members, sets, similarity, parts)
     result = nodes
     if labels is not None:
         named = labels.join(nodes, "node").groupBy("label").agg(F.min("first").alias("smallest"))
@@ -311,12 +314,12 @@ def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"), "node")
 
 
-def _link_rounds(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame | None:
+def _link_rounds(members: DataFrame, sets: DataFrame, similarity: int, parts: int) -> DataFrame | None:
     """(node, label) of linked nodes, from members (sig, node, lead) in verified rounds."""
     others = members.filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
     best = others.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
-    tested = materialize(best.select(*_ordered(F.col("node"), F.col("lead"))).distinct(), "tested")
-    links = _verify(tested, sets, similarity)
+    tested = materialize(best.select(*_ordered(F.col("node"), F.col("lead"))).distinct(), "tested", parts)
+    links = _verify(tested, sets, similarity, parts)
 
     def labelled(rows: DataFrame, name: str, labels: DataFrame) -> DataFrame:
         sent = labels.select(F.col("node").alias("of"), F.col("label").alias(f"{name}_label"))
@@ -324,14 +327,17 @@ def _link_rounds(members: DataFrame, sets: DataFrame, similarity: int) -> DataFr
 
     def again(pairs: DataFrame) -> DataFrame:
         nonlocal tested, links
-        fresh = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        # One aggregation, which combines a pair's repeats in each task before anything moves.
+        marked = pairs.withColumn("old", F.lit(0)).unionByName(tested.withColumn("old", F.lit(1)))
+        fresh = marked.groupBy("a", "b").agg(F.max("old").alias("old")).filter("old = 0").drop("old")
+        fresh = materialize(fresh, "pairs", parts)
         if fresh.isEmpty():
             return labels
         tested = tested.unionByName(fresh)
-        links = links.unionByName(_verify(fresh, sets, similarity))
-        return components(links)
+        links = links.unionByName(_verify(fresh, sets, similarity, parts))
+        return components(links, parts=parts)
 
-    labels = components(links)
+    labels = components(links, parts=parts)
     # Every set with the leaders of all its signatures, where the components still differ.
     stars = labelled(labelled(others.select("node", "lead"), "node", labels), "lead", labels)
     labels = again(stars.filter("node_label <> lead_label").select(*_ordered(F.col("node"), F.col("lead"))))
@@ -339,7 +345,7 @@ def _link_rounds(members: DataFrame, sets: DataFrame, similarity: int) -> DataFr
         here = labelled(members.select("sig", "node"), "node", labels)
         shares = here.groupBy("sig", "node_label").agg(F.count(F.lit(1)).alias("n"))
         mixed = shares.groupBy("sig").agg(F.max_by("node_label", F.struct("n", "node_label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size")).filter("labels > 1")
-        open_ = materialize(here.join(mixed, "sig").select("sig", "node", "node_label", "main", "size"), "open")
+        open_ = materialize(here.join(mixed, "sig").select("sig", "node", "node_label", "main", "size"), "open", parts)
         size = open_.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("node_label") != F.col("main"), F.col("size"))).alias("pairs")).first()
         if turn == 7 or (size["pairs"] or 0) <= COMPARED * size["n"] + 10_000_000:
             break
