@@ -48,6 +48,18 @@ def test_labels_of_the_index(spark):
         assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
 
 
+def test_every_notice_of_a_text_is_found(spark):
+    mit = "Copyright (c) 2020 Some One. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."
+    bsd = "Copyright (c) 2021 Some One. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: binary forms must reproduce the above notice."
+    many = "Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0. Released under the MIT License. Licensed under the GNU General Public License, version 3. All rights reserved."
+    long = mit + " Mozilla affero lesser isc unencumbered redistribution domain terms version subject gnu." * 40
+    texts = [mit + " " + bsd, many, long, *[f"any prose of word{i} and the rest" for i in range(50)]]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == {"mit-text", "bsd", "all-rights-reserved"}
+    assert got[1] >= {"cc-by-nc-4.0", "apache-2.0", "mit-notice", "gpl-3.0", "all-rights-reserved"}
+    assert got[2] == {"mit-text"}
+
+
 def test_empty_table(empty):
     assert licenses.scan_licenses(empty).collect() == []
 

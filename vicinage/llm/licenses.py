@@ -1,8 +1,8 @@
 """Licence scan with a positional rare-token index (DataFrame functions only).
 
 Templates are short public licence notices. The index holds, for each template, the positions of its
-words of highest inverse document frequency in the scanned corpus. A file's rarest licence words are
-looked up, their postings are intersected by relative position (file position less template
+words of highest inverse document frequency in the scanned corpus. Every indexed word of a file is
+looked up, the postings are intersected by relative position (file position less template
 position), and an alignment that covers enough of the template's rare words counts when the
 template's mandatory key phrase stands in the file.
 """
@@ -44,9 +44,8 @@ TEMPLATES = (
 # Words too common in any prose to be looked up.
 COMMON = frozenset("a all and any are by for in into is of or that the this to under use with without 0 2 3 4".split())
 
-#: A file's rare words that are looked up, a template's that are indexed, and the share of a
-#: template's indexed weight that an alignment must cover.
-FILE_WORDS, TEMPLATE_WORDS, COVER = 8, 8, 0.6
+#: A template's rare words that are indexed, and the share of their weight that an alignment must cover.
+TEMPLATE_WORDS, COVER = 8, 0.6
 
 
 def words_of(text: Column) -> Column:
@@ -113,22 +112,17 @@ def scan_licenses(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
     seen = files.select(F.explode(F.array_distinct(F.transform("postings", lambda x: x["word"]))).alias("word"))
     frequency = {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}  # at most a row a template word
     index = rare_index(frequency, files.count(), templates)
-    idf = {w: weight for w, _, _, weight in index}
-    table = F.broadcast(spark.createDataFrame(index, "word string, template int, at int, weight double"))
+    table = F.broadcast(spark.createDataFrame([(*row, templates[row[1]][2]) for row in index], "word string, template int, at int, weight double, phrase string"))
     whole: dict[int, float] = {}
     for _, k, _, weight in index:
         whole[k] = whole.get(k, 0.0) + weight
-    names = spark.createDataFrame([(k, label, phrase, whole[k], len({w for w, t, _, _ in index if t == k})) for k, (label, _, phrase) in enumerate(templates)], "of int, label string, phrase string, whole double, rare int")
-
-    order = F.array(*[F.lit(w) for w in sorted(idf, key=lambda w: (-idf[w], w))])
-    held = F.transform("postings", lambda x: x["word"])
-    rarest = F.slice(F.array_intersect(order, held), 1, FILE_WORDS)
-    found = files.filter(F.size("phrases") > 0).select("row", "phrases", rarest.alias("rarest"), "postings")
-    found = found.select("row", "phrases", "rarest", F.explode("postings").alias("p")).filter(F.array_contains("rarest", F.col("p.word")))
-    hits = found.join(table, F.col("p.word") == table["word"]).select("row", "phrases", "template", (F.col("p.at") - table["at"]).alias("shift"), table["at"].alias("place"), "weight")
-    aligned = hits.groupBy("row", "template", "shift").agg(F.sum("weight").alias("matched"), F.count(F.lit(1)).alias("n"), F.first("phrases").alias("phrases"))
+    names = spark.createDataFrame([(k, label, whole[k], len({w for w, t, _, _ in index if t == k})) for k, (label, _, _) in enumerate(templates)], "of int, label string, whole double, rare int")
+
+    found = files.filter(F.size("phrases") > 0).select("row", "phrases", F.explode("postings").alias("p"))
+    hits = found.join(table, (F.col("p.word") == table["word"]) & F.array_contains("phrases", F.col("phrase"))).select("row", "template", (F.col("p.at") - table["at"]).alias("shift"), "weight")
+    aligned = hits.groupBy("row", "template", "shift").agg(F.sum("weight").alias("matched"), F.count(F.lit(1)).alias("n"))
     aligned = aligned.join(F.broadcast(names), F.col("template") == F.col("of"))
-    aligned = aligned.filter((F.col("matched") >= COVER * F.col("whole")) & (F.col("n") >= F.least(F.lit(2), F.col("rare"))) & F.array_contains("phrases", F.col("phrase")))
+    aligned = aligned.filter((F.col("matched") >= COVER * F.col("whole")) & (F.col("n") >= F.least(F.lit(2), F.col("rare"))))
     own = aligned.groupBy(F.col("row").alias("of_row")).agg(F.collect_set("label").alias("own"), F.max(F.col("matched") / F.col("whole")).alias("best"))
     rows = files.join(own, F.col("row") == F.col("of_row"), "left")
     nothing = F.array().cast("array<string>")
