@@ -73,6 +73,20 @@ def test_permutation_is_one():
         assert sorted(S.permute(KEY, "t", n, size) for n in range(size)) == list(range(size))
 
 
+def test_secrets_of_any_length(monkeypatch):
+    rng = random.Random(2)
+    body = "".join(rng.choice("ABCDEFabcdef0123456789_-") for _ in range(1000)) + "7"
+    token, other, plain = "eyJ" + body, "eyJ" + "8" + body[1:], "z/+" + body
+    text = f'token = "{token}" and {token}, secret: {other} password={plain}; '
+    new, spans = S.rewrite(text, KEY, {})
+    assert [(e.kind, e.end - e.start) for e in spans] == [("key", 1001), ("key", 1001), ("key", 1001), ("secret", 1004)]
+    assert not any(text[at : at + 12] in new for e in spans for at in range(e.start, e.end - 11))
+    assert spans[0].value == spans[1].value != spans[2].value and len(new) == len(text)
+    assert kinds("password=abc/def1bo@mail.example.com") == [("secret", "abc/"), ("email", "def1bo@mail.example.com")]
+    monkeypatch.setattr(S, "WIDE", 0)
+    assert len({S.permute_string(KEY, "t", f"{n:03d}-{c}") for n in range(1000) for c in "aZ"}) == 2000
+
+
 def test_names_collide_and_are_drawn_again(spark, monkeypatch):
     monkeypatch.setitem(S.SYLLABLES, "latin", ["ba", "be"])  # 16 names of a word
     names = spark.createDataFrame([(f"n{i}", "m") for i in range(10)], "name string, gender string")

@@ -41,11 +41,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Z
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<key>[A-Z0-9]{16})(?![A-Za-z0-9])")
 # How well-known kinds of access token begin.
 _TOKEN_STARTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "sk-", "xoxb-", "xoxp-", "xoxa-", "AIza", "eyJ")
-_TOKEN = re.compile(r"(?<![\w-])(?:" + "|".join(_TOKEN_STARTS) + r")(?P<key>[A-Za-z0-9_.-]{16,500}[A-Za-z0-9_-])")
+_TOKEN = re.compile(r"(?<![\w-])(?:" + "|".join(_TOKEN_STARTS) + r")(?P<key>[A-Za-z0-9_.-]{16,}[A-Za-z0-9_-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
 _LABEL = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}$")
-_SECRET = re.compile(r"\s{0,3}[\"']?(?P<secret>[A-Za-z0-9_+/.-]{6,200})")
+_SECRET = re.compile(r"\s{0,3}[\"']?(?P<secret>[A-Za-z0-9_+/.-]{6,})")
 _NAME = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")(\.? )((?:[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[-'][^\W\d_]+)?)(?: (?:[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[-'][^\W\d_]+)?))?)")
 
 
@@ -63,8 +63,9 @@ def _mod97(iban: str) -> bool:
 
 
 def detect(text: str) -> list[Entity]:
-    """Entities of a whole text in order, none overlapping; the longer of two that begin together."""
-    found = []
+    """Entities of a whole text in order, none overlapping; of two that overlap the longer, and what
+    the other holds beyond it as a secret. A token is the same entity with a label and without."""
+    found, keys = [], []
     at = text.find("@")
     while at >= 0:
         local, domain = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
@@ -78,9 +79,11 @@ def detect(text: str) -> list[Entity]:
     if "+" in text or "(" in text:
         found += [Entity(m.start(), m.end(), "phone", m[0]) for m in _PLUS.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 15]
     if "AKIA" in text or "ASIA" in text:
-        found += [Entity(m.start("key"), m.end("key"), "key", m["key"]) for m in _KEY.finditer(text)]
+        keys += _KEY.finditer(text)
     if any(start in text for start in _TOKEN_STARTS):
-        found += [Entity(m.start("key"), m.end("key"), "key", m["key"]) for m in _TOKEN.finditer(text) if any(c.isdigit() for c in m["key"])]
+        keys += [m for m in _TOKEN.finditer(text) if any(c.isdigit() for c in m["key"])]
+    found += [Entity(m.start("key"), m.end("key"), "key", m["key"]) for m in keys]
+    whole = {m.span() for m in keys}
     found += [Entity(m.start(), m.end(), "iban", m[0]) for m in _IBAN.finditer(text) if _mod97(m[0])]
     if text.count(":") > 6:
         found += [Entity(m.start(), m.end(), "ipv6", m[0]) for m in _IPV6.finditer(text)]
@@ -88,14 +91,21 @@ def detect(text: str) -> list[Entity]:
         at = text.find(mark)
         while at >= 0:
             if _LABEL.search(text, max(0, at - 24), at) and (m := _SECRET.match(text, at + 1)) and any(c.isdigit() for c in m["secret"]):
-                found.append(Entity(m.start("secret"), m.end("secret"), "secret", m["secret"].rstrip(".")))
+                value, start = m["secret"].rstrip("."), m.start("secret")
+                if (start, start + len(value)) not in whole:
+                    found.append(Entity(start, start + len(value), "secret", value))
             at = text.find(mark, at + 1)
     found += [Entity(m.start(3), m.end(3), "name:" + TITLES[m[1]], m[3]) for m in _NAME.finditer(text)]
     out: list[Entity] = []
     for e in sorted(found, key=lambda e: (e.start, -e.end)):
-        e = e._replace(end=e.start + len(e.value))
         if not out or e.start >= out[-1].end:
             out.append(e)
+        elif e.end > out[-1].end:
+            last = out.pop()
+            if last.kind.startswith("name:") or len(last.value) >= len(e.value):
+                out += [last, Entity(last.end, e.end, "secret", text[last.end : e.end])]
+            else:
+                out += [Entity(last.start, e.start, "secret", text[last.start : e.start]), e]
     return out
 
 
@@ -116,9 +126,27 @@ def permute(key: bytes, tweak: str, number: int, size: int) -> int:
             return number
 
 
+#: Letters and digits of a string beyond which it is permuted place by place, not as one number.
+WIDE = 200
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+def _permute_wide(key: bytes, tweak: str, value: str, places: list[tuple[int, str]]) -> str:
+    """permute_string in time linear in the length: a Feistel network whose halves are places, each
+    moved within its class by a keyed stream of the other half."""
+    new, middle = [k.index(value[i]) for i, k in places], len(places) // 2
+    for turn in range(8):
+        here, there = (range(middle), new[middle:]) if turn % 2 else (range(middle, len(new)), new[:middle])
+        seed = hashlib.blake2b(f"{tweak}|{turn}|".encode() + bytes(there), key=key).digest()
+        stream = hashlib.shake_256(seed).digest(8 * len(here))
+        for n, at in enumerate(here):
+            new[at] = (new[at] + int.from_bytes(stream[8 * n : 8 * n + 8], "big")) % len(places[at][1])
+    out = list(value)
+    for (i, k), digit in zip(places, new):
+        out[i] = k[digit]
+    return "".join(out)
+
+
 def permute_string(key: bytes, tweak: str, value: str, hexadecimal: bool = False) -> str:
     """A keyed permutation of the strings of one format: each ASCII letter and digit becomes one of
     its own class (of hexadecimal digits on request), and everything else stays."""
@@ -126,8 +154,11 @@ def permute_string(key: bytes, tweak: str, value: str, hexadecimal: bool = False
     places = [(i, k) for i, c in enumerate(value) for k in classes if c in k]
     number, size, shape = 0, 1, list(value)
     for i, k in places:
-        number, size = number * len(k) + k.index(value[i]), size * len(k)
         shape[i] = k[0]
+    if len(places) > WIDE:
+        return _permute_wide(key, tweak + "|" + "".join(shape), value, places)
+    for i, k in places:
+        number, size = number * len(k) + k.index(value[i]), size * len(k)
     number = permute(key, tweak + "|" + "".join(shape), number, size)
     for i, k in reversed(places):
         number, digit = divmod(number, len(k))
