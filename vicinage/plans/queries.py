@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +27,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if it has one."""
+def query(sql: str | None = None, ids: bool = False):
+    """Register a query under its function's name, with its SQL if it has one. The SQL of some takes
+    the first ``ids`` only; they are also registered as NAME_all, over whole tables and without SQL."""
     def add(f):
         QUERIES[f.__name__] = f
+        if ids:
+            QUERIES[f.__name__ + "_all"] = partial(f, whole=True)
         if sql is not None:
             ORACLES[f.__name__] = sql
         return f
@@ -45,6 +48,10 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
 
 
+def below(rows: DataFrame, limit: int, whole: bool, id_col: str = "id") -> DataFrame:
+    return rows if whole else rows.filter(F.col(id_col) < limit)
+
+
 def sparse_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.entries(dense(spark, sf_dir), "id", "embedding", 0.15)
 
@@ -133,40 +140,40 @@ SPARSE_PAIRS = "n AS (SELECT id, sum(val * val) AS n2 FROM s GROUP BY 1), d AS (
 # ---- rows and distances -------------------------------------------------------------------------
 
 
-@query(f"WITH {P} {ranked(EXACT)}")
-def exact_knn(spark, sf_dir):
+@query(f"WITH {P} {ranked(EXACT)}", ids=True)
+def exact_knn(spark, sf_dir, whole=False):
     points = dense(spark, sf_dir)
-    return rounded(search.exact_knn(points.filter(F.col("id") < NQ), points, K))
+    return rounded(search.exact_knn(below(points, NQ, whole), points, K))
 
 
-@query(f"WITH {P} {ranked(EXACT, dist='sqrt(dist)')}")
-def exact_knn_euclidean(spark, sf_dir):
+@query(f"WITH {P} {ranked(EXACT, dist='sqrt(dist)')}", ids=True)
+def exact_knn_euclidean(spark, sf_dir, whole=False):
     points = dense(spark, sf_dir)
-    return rounded(search.exact_knn(points.filter(F.col("id") < NQ), points, K, metric="euclidean"))
+    return rounded(search.exact_knn(below(points, NQ, whole), points, K, metric="euclidean"))
 
 
-@query(f"WITH {P} {ranked(EXACT)}")
-def exact_knn_sql(spark, sf_dir):
+@query(f"WITH {P} {ranked(EXACT)}", ids=True)
+def exact_knn_sql(spark, sf_dir, whole=False):
     points = dense(spark, sf_dir)
-    return rounded(search.exact_knn(points.filter(F.col("id") < NQ), points, K, engine="sql"))
+    return rounded(search.exact_knn(below(points, NQ, whole), points, K, engine="sql"))
 
 
-@query(f"WITH {P} {ranked(EXACT + ' AND q.id <> r.id')}")
-def exact_knn_without_self(spark, sf_dir):
+@query(f"WITH {P} {ranked(EXACT + ' AND q.id <> r.id')}", ids=True)
+def exact_knn_without_self(spark, sf_dir, whole=False):
     points = dense(spark, sf_dir)
-    return rounded(search.exact_knn(points.filter(F.col("id") < NQ), points, K, include_self=False))
+    return rounded(search.exact_knn(below(points, NQ, whole), points, K, include_self=False))
 
 
-@query(f"WITH {P} {ranked(EXACT)}")
-def exact_knn_chunked(spark, sf_dir):
+@query(f"WITH {P} {ranked(EXACT)}", ids=True)
+def exact_knn_chunked(spark, sf_dir, whole=False):
     points = dense(spark, sf_dir)
-    return rounded(search.exact_knn_chunked(points.filter(F.col("id") < NQ), points, K, [F.col("id") % 3 == i for i in range(3)]))
+    return rounded(search.exact_knn_chunked(below(points, NQ, whole), points, K, [F.col("id") % 3 == i for i in range(3)]))
 
 
-@query(f"WITH {P} {ranked(EXACT + ' AND r.id % 4 = 1')}")
-def local_exact(spark, sf_dir):
+@query(f"WITH {P} {ranked(EXACT + ' AND r.id % 4 = 1')}", ids=True)
+def local_exact(spark, sf_dir, whole=False):
     points = dense(spark, sf_dir)
-    return rounded(search.local_exact(points.filter(F.col("id") < NQ), points, K, F.col("id") % 4 == 1))
+    return rounded(search.local_exact(below(points, NQ, whole), points, K, F.col("id") % 4 == 1))
 
 
 @query(f"WITH {SP}, {SPARSE_PAIRS} " + ranked("SELECT a.id AS query_id, b.id AS neighbor_id, greatest(a.n2 + b.n2 - 2 * coalesce(d.dot, 0), 0) AS dist FROM n a CROSS JOIN n b LEFT JOIN d ON d.i = a.id AND d.j = b.id"))
@@ -175,10 +182,10 @@ def exact_knn_sparse(spark, sf_dir):
     return rounded(search.exact_knn_sparse(points, points, K))
 
 
-@query(f"WITH {P} SELECT q.id AS i, r.id AS j, round({sqd('q.e', 'r.e')}, 6) AS dist FROM p q, p r WHERE q.id < 50 AND r.id < 200")
-def pairwise_sqdist(spark, sf_dir):
+@query(f"WITH {P} SELECT q.id AS i, r.id AS j, round({sqd('q.e', 'r.e')}, 6) AS dist FROM p q, p r WHERE q.id < 50 AND r.id < 200", ids=True)
+def pairwise_sqdist(spark, sf_dir, whole=False):
     points = dense(spark, sf_dir)
-    return rounded(search.pairwise_sqdist(points.filter("id < 50"), points.filter("id < 200")))
+    return rounded(search.pairwise_sqdist(below(points, 50, whole), below(points, 200, whole)))
 
 
 @query(f"WITH {P} SELECT id, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS sqnorm FROM p")
@@ -225,10 +232,10 @@ def project_sparse(spark, sf_dir):
     return rounded(sparse.multiply_dense(sparse_emb(spark, sf_dir), directions_frame(spark, directions(0))), "proj")
 
 
-@query(f"WITH {S} SELECT a.id AS i, b.id AS j, round(sum(a.val * b.val), 6) AS val FROM s a JOIN s b ON a.col = b.col WHERE a.id < {NQ} GROUP BY 1, 2")
-def spgemm(spark, sf_dir):
+@query(f"WITH {S} SELECT a.id AS i, b.id AS j, round(sum(a.val * b.val), 6) AS val FROM s a JOIN s b ON a.col = b.col WHERE a.id < {NQ} GROUP BY 1, 2", ids=True)
+def spgemm(spark, sf_dir, whole=False):
     points = sparse_emb(spark, sf_dir)
-    return rounded(sparse.inner(points.filter(F.col("id") < NQ), points), "val")
+    return rounded(sparse.inner(below(points, NQ, whole), points), "val")
 
 
 @query(f"WITH {S} SELECT a.id AS i, b.id AS j, round(sum(a.val * b.val), 6) AS val FROM s a JOIN s b ON a.col = b.col GROUP BY 1, 2")
@@ -236,11 +243,11 @@ def gram_symmetric(spark, sf_dir):
     return rounded(sparse.gram(sparse.rows(sparse_emb(spark, sf_dir))), "val")
 
 
-@query(f"WITH {S}, g AS (SELECT a.id AS i, b.id AS j, sum(a.val * b.val) AS val FROM s a JOIN s b ON a.col = b.col GROUP BY 1, 2) SELECT x.id AS i, y.id AS j, round(coalesce(g.val, 0), 6) AS val FROM p x CROSS JOIN p y LEFT JOIN g ON g.i = x.id AND g.j = y.id WHERE x.id < 50")
-def spgemm_dense(spark, sf_dir):
+@query(f"WITH {S}, g AS (SELECT a.id AS i, b.id AS j, sum(a.val * b.val) AS val FROM s a JOIN s b ON a.col = b.col GROUP BY 1, 2) SELECT x.id AS i, y.id AS j, round(coalesce(g.val, 0), 6) AS val FROM p x CROSS JOIN p y LEFT JOIN g ON g.i = x.id AND g.j = y.id WHERE x.id < 50", ids=True)
+def spgemm_dense(spark, sf_dir, whole=False):
     points, ids = sparse_emb(spark, sf_dir), dense(spark, sf_dir)
-    product = sparse.inner(points.filter("id < 50"), points)
-    return rounded(sparse.to_grid(product, ids.filter("id < 50").select(F.col("id").alias("i")), ids.select(F.col("id").alias("j"))), "val")
+    product = sparse.inner(below(points, 50, whole), points)
+    return rounded(sparse.to_grid(product, below(ids, 50, whole).select(F.col("id").alias("i")), ids.select(F.col("id").alias("j"))), "val")
 
 
 @query(f"WITH {S} SELECT CAST(col AS INTEGER) AS row, id AS col, round(val, 6) AS val FROM s")
@@ -422,13 +429,13 @@ KTH = "kth AS (SELECT query_id, max(dist) AS kth, count(*) AS n FROM truth GROUP
 PAIR = f"WITH {P}, {forest_ctes(range(2))}, {TRUTH}, {APPROX}, {KTH}"
 
 
-def _pair(spark, sf_dir):
-    """(truth, approx) of the first NQ points, approx from two trees."""
+def _pair(spark, sf_dir, whole=False):
+    """(truth, approx) of the first NQ points or of all, approx from two trees."""
     points = dense(spark, sf_dir)
-    truth = search.exact_knn(points.filter(F.col("id") < NQ), points, K, engine="sql")
+    truth = search.exact_knn(below(points, NQ, whole), points, K, engine="blocks" if whole else "sql")
     approx = small_forest(points, fused_rows=0)
     both = merge.merge_neighbors(approx.candidates([0], K), approx.candidates([1], K), k=K)
-    return truth, both.filter(F.col("query_id") < NQ)
+    return truth, below(both, NQ, whole, "query_id")
 
 
 @query(f"WITH {P}, {forest_ctes(range(2))} {ranked(deduped(ONE + ' UNION ALL ' + TWO))}")
@@ -448,55 +455,55 @@ def argsort(spark, sf_dir):
     return exchange.argsort(dense(spark, sf_dir).select("id", F.col("embedding")[0].alias("x")), "x")
 
 
-@query(PAIR + " SELECT (SELECT count(*) FROM approx JOIN kth USING (query_id) WHERE dist <= kth + 1e-9) / (SELECT sum(n) FROM kth) AS recall")
-def recall_distance(spark, sf_dir):
-    truth, approx = _pair(spark, sf_dir)
+@query(PAIR + " SELECT (SELECT count(*) FROM approx JOIN kth USING (query_id) WHERE dist <= kth + 1e-9) / (SELECT sum(n) FROM kth) AS recall", ids=True)
+def recall_distance(spark, sf_dir, whole=False):
+    truth, approx = _pair(spark, sf_dir, whole)
     return metrics.recall_distance(truth, approx, 1e-9)
 
 
-@query(PAIR + " SELECT (SELECT count(*) FROM approx JOIN truth USING (query_id, neighbor_id)) / (SELECT sum(n) FROM kth) AS recall")
-def recall_ids(spark, sf_dir):
-    return metrics.recall_ids(*_pair(spark, sf_dir))
+@query(PAIR + " SELECT (SELECT count(*) FROM approx JOIN truth USING (query_id, neighbor_id)) / (SELECT sum(n) FROM kth) AS recall", ids=True)
+def recall_ids(spark, sf_dir, whole=False):
+    return metrics.recall_ids(*_pair(spark, sf_dir, whole))
 
 
-@query(PAIR + ", ks AS (SELECT * FROM (VALUES (2), (4), (6), (8)) AS v(k)), f AS (SELECT k, query_id, max(dist) AS far, count(*) AS n FROM truth, ks WHERE rank <= k GROUP BY 1, 2) SELECT CAST(f.k AS BIGINT) AS k, sum((SELECT count(*) FROM approx a WHERE a.query_id = f.query_id AND a.rank <= f.k AND a.dist <= f.far + 1e-9)) / sum(f.n) AS recall FROM f GROUP BY 1")
-def recall_at_k(spark, sf_dir):
-    return metrics.recall_at_k(*_pair(spark, sf_dir), tolerance=1e-9)
+@query(PAIR + ", ks AS (SELECT * FROM (VALUES (2), (4), (6), (8)) AS v(k)), f AS (SELECT k, query_id, max(dist) AS far, count(*) AS n FROM truth, ks WHERE rank <= k GROUP BY 1, 2) SELECT CAST(f.k AS BIGINT) AS k, sum((SELECT count(*) FROM approx a WHERE a.query_id = f.query_id AND a.rank <= f.k AND a.dist <= f.far + 1e-9)) / sum(f.n) AS recall FROM f GROUP BY 1", ids=True)
+def recall_at_k(spark, sf_dir, whole=False):
+    return metrics.recall_at_k(*_pair(spark, sf_dir, whole), tolerance=1e-9)
 
 
-@query(PAIR + " SELECT round(avg(abs(got - kth) / kth), 6) AS rel_err FROM kth JOIN (SELECT query_id, max(dist) AS got FROM approx GROUP BY 1) USING (query_id)")
-def rel_err(spark, sf_dir):
-    return rounded(metrics.kth_error(*_pair(spark, sf_dir)), "rel_err")
+@query(PAIR + " SELECT round(avg(abs(got - kth) / kth), 6) AS rel_err FROM kth JOIN (SELECT query_id, max(dist) AS got FROM approx GROUP BY 1) USING (query_id)", ids=True)
+def rel_err(spark, sf_dir, whole=False):
+    return rounded(metrics.kth_error(*_pair(spark, sf_dir, whole)), "rel_err")
 
 
-@query(PAIR + " SELECT round(avg(dist), 6) AS mean_sim FROM approx")
-def mean_sim(spark, sf_dir):
-    return rounded(metrics.mean_sim(_pair(spark, sf_dir)[1]), "mean_sim")
+@query(PAIR + " SELECT round(avg(dist), 6) AS mean_sim FROM approx", ids=True)
+def mean_sim(spark, sf_dir, whole=False):
+    return rounded(metrics.mean_sim(_pair(spark, sf_dir, whole)[1]), "mean_sim")
 
 
-@query(PAIR + " SELECT query_id, round(avg(dist), 6) AS mean_sim FROM approx GROUP BY 1")
-def row_mean_sim(spark, sf_dir):
-    return rounded(metrics.row_mean_sim(_pair(spark, sf_dir)[1]), "mean_sim")
+@query(PAIR + " SELECT query_id, round(avg(dist), 6) AS mean_sim FROM approx GROUP BY 1", ids=True)
+def row_mean_sim(spark, sf_dir, whole=False):
+    return rounded(metrics.row_mean_sim(_pair(spark, sf_dir, whole)[1]), "mean_sim")
 
 
-@query(PAIR + " SELECT round(sqrt(sum((a.dist - t.dist) * (a.dist - t.dist))) / sqrt(sum(t.dist * t.dist)), 6) AS frob_err FROM truth t JOIN approx a USING (query_id, rank)")
-def frob_error(spark, sf_dir):
-    return rounded(metrics.frobenius_error(*_pair(spark, sf_dir)), "frob_err")
+@query(PAIR + " SELECT round(sqrt(sum((a.dist - t.dist) * (a.dist - t.dist))) / sqrt(sum(t.dist * t.dist)), 6) AS frob_err FROM truth t JOIN approx a USING (query_id, rank)", ids=True)
+def frob_error(spark, sf_dir, whole=False):
+    return rounded(metrics.frobenius_error(*_pair(spark, sf_dir, whole)), "frob_err")
 
 
-@query(PAIR + " SELECT count(*) AS misses FROM approx a JOIN kth USING (query_id) WHERE a.dist > kth * (1 + 1e-6) AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.query_id = a.query_id AND t.neighbor_id = a.neighbor_id)")
-def miss_count(spark, sf_dir):
-    return metrics.miss_count(*_pair(spark, sf_dir))
+@query(PAIR + " SELECT count(*) AS misses FROM approx a JOIN kth USING (query_id) WHERE a.dist > kth * (1 + 1e-6) AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.query_id = a.query_id AND t.neighbor_id = a.neighbor_id)", ids=True)
+def miss_count(spark, sf_dir, whole=False):
+    return metrics.miss_count(*_pair(spark, sf_dir, whole))
 
 
-@query(PAIR + ", w AS (SELECT t.query_id, min(CASE WHEN a.dist IS NULL OR abs(a.dist - t.dist) > 1e-6 * greatest(1, t.dist) THEN t.rank END) AS f, max(t.rank) AS k FROM truth t LEFT JOIN approx a USING (query_id, rank) GROUP BY 1) SELECT CAST(coalesce(sum(k - f + 1), 0) AS BIGINT) AS misses FROM w WHERE f IS NOT NULL")
-def miss_count_tol(spark, sf_dir):
-    return metrics.miss_count_tolerance(*_pair(spark, sf_dir))
+@query(PAIR + ", w AS (SELECT t.query_id, min(CASE WHEN a.dist IS NULL OR abs(a.dist - t.dist) > 1e-6 * greatest(1, t.dist) THEN t.rank END) AS f, max(t.rank) AS k FROM truth t LEFT JOIN approx a USING (query_id, rank) GROUP BY 1) SELECT CAST(coalesce(sum(k - f + 1), 0) AS BIGINT) AS misses FROM w WHERE f IS NOT NULL", ids=True)
+def miss_count_tol(spark, sf_dir, whole=False):
+    return metrics.miss_count_tolerance(*_pair(spark, sf_dir, whole))
 
 
-@query(PAIR + " SELECT avg(CASE WHEN s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS match FROM (SELECT t.query_id, bool_and(coalesce(a.neighbor_id = t.neighbor_id, false)) AS s FROM truth t LEFT JOIN approx a USING (query_id, rank) GROUP BY 1)")
-def strict_match(spark, sf_dir):
-    return metrics.strict_match(*_pair(spark, sf_dir))
+@query(PAIR + " SELECT avg(CASE WHEN s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS match FROM (SELECT t.query_id, bool_and(coalesce(a.neighbor_id = t.neighbor_id, false)) AS s FROM truth t LEFT JOIN approx a USING (query_id, rank) GROUP BY 1)", ids=True)
+def strict_match(spark, sf_dir, whole=False):
+    return metrics.strict_match(*_pair(spark, sf_dir, whole))
 
 
 # ---- movement -----------------------------------------------------------------------------------
@@ -518,16 +525,19 @@ def gather_sparse_rows(spark, sf_dir):
     return rounded(exchange.gather(sparse_emb(spark, sf_dir), _wanted(spark).distinct()), "val")
 
 
-@query(f"WITH {P} SELECT (499 - id) AS pos, round(e[1], 6) AS first FROM p WHERE id < 500")
-def permute_rows(spark, sf_dir):
-    order = spark.range(500).select((499 - F.col("id")).alias("pos"), F.col("id").alias("src"))
+@query(f"WITH {P} SELECT (499 - id) AS pos, round(e[1], 6) AS first FROM p WHERE id < 500", ids=True)
+def permute_rows(spark, sf_dir, whole=False):
     rows = dense(spark, sf_dir).select("id", F.col("embedding")[0].cast("double").alias("first"))
+    if whole:
+        order = exchange.global_rank(rows.select("id"), [], ["id"], "place").select((rows.count() - F.col("place")).alias("pos"), F.col("id").alias("src"))
+    else:
+        order = spark.range(500).select((499 - F.col("id")).alias("pos"), F.col("id").alias("src"))
     return rounded(exchange.permute(rows, order), "first")
 
 
-@query(f"WITH {P} {ranked(EXACT)}")
-def redistribute(spark, sf_dir):
-    return exchange.redistribute(exact_knn(spark, sf_dir))
+@query(f"WITH {P} {ranked(EXACT)}", ids=True)
+def redistribute(spark, sf_dir, whole=False):
+    return exchange.redistribute(exact_knn(spark, sf_dir, whole))
 
 
 BOUNDS = [0, 100, 250, 251, 400]
@@ -605,10 +615,10 @@ def read_fvecs(spark, sf_dir):
     return rounded(out.select("id", F.col("pos").cast("long").alias("pos"), F.col("val").cast("double").alias("val")), "val")
 
 
-@query(f"WITH {P} {ranked(EXACT)}")
-def read_truth(spark, sf_dir):
+@query(f"WITH {P} {ranked(EXACT)}", ids=True)
+def read_truth(spark, sf_dir, whole=False):
     path = fresh_path(spark, "truth")
-    writers.write_matrix_text(exact_knn(spark, sf_dir), path)
+    writers.write_matrix_text(exact_knn(spark, sf_dir, whole), path)
     return readers.read_truth_text(spark, path)
 
 
