@@ -27,16 +27,23 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: the one of smallest doc_id. Rows without an id
-    cannot be named and stay; of rows that repeat an id with the same text one stays."""
+    cannot be named and stay; of rows that repeat an id with the same text one stays, and those that
+    repeat it with different texts are decided by their own sets."""
     groups = materialize(jaccard.jaccard_components(docs), "groups")
-    copies = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct(), "copies")
+    others = groups.filter("doc_id <> component_id")
+    copies = materialize(others.select(F.col("doc_id").alias("copy")).distinct(), "copies")
     repeated = materialize(groups.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).count().filter("count > 1").select("of"), "repeated")
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
     kept = docs.select(*COLUMNS).join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, F.col("doc_id") == F.col("of"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, F.col("doc_id") == F.col("of"), "left_anti").unionByName(once)
+    # Rows of one id are told apart by new ids, which say whose set is a copy.
+    once = docs.select(*COLUMNS).join(repeated, F.col("doc_id") == F.col("of"), "left_semi").dropDuplicates(["doc_id", "text"])
+    once = materialize(once.withColumn("row", F.monotonically_increasing_id()), "once")
+    sets = jaccard.jaccard_components(once, doc_id="row").select(F.col("doc_id").alias("row_of"), F.col("node").alias("set"))
+    gone = others.select(F.col("doc_id").alias("copy"), "node").distinct()
+    once = once.join(sets, F.col("row") == F.col("row_of")).join(gone, (F.col("doc_id") == F.col("copy")) & F.col("set").eqNullSafe(F.col("node")), "left_anti")
+    return kept.join(repeated, F.col("doc_id") == F.col("of"), "left_anti").unionByName(once.select(*COLUMNS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,14 @@ def test_jaccard_stage_keeps_one_of_each_group(spark, docs, sf_dir):
     assert sorted(again) == sorted(kept)
 
 
+def test_jaccard_stage_tells_rows_of_one_id_apart(spark, docs, sf_dir):
+    words = [f"{x}{y}" for x in ("al", "be", "co", "du") for y in ("ra", "to", "mi", "ne", "lu")]
+    one, two, three = (" ".join(words[(i * step + 1) % 20] for i in range(40)) for step in (1, 3, 7))
+    table = [(1, one), (2, one.upper()), (2, two), (2, two), (3, three), (None, one)]
+    got = P.keep_one_of_each_group(spark, spark.createDataFrame([(*r, None, "a", 1) for r in table], docs.select(*P.COLUMNS).schema), sf_dir)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, one), (2, two), (3, three), (None, one)], key=str)
+
+
 def test_pii_stage_changes_texts_only(spark, docs, sf_dir):
     got = rows(P.replace_personal_data(spark, docs, sf_dir))
     was = rows(docs)
