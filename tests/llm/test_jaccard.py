@@ -91,8 +91,16 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
 
 
 def test_signatures_of_linked_sets_meet():
+    """Under any order of the signatures the first of linked sets have one in common."""
     rng = np.random.default_rng(0)
-    nothing = np.zeros(0, np.uint64)
+
+    def first(x, order):
+        found = []
+        for _, values in jaccard.signatures(x):
+            places = (values * np.uint64(2 * order + 1)) >> np.uint64(7)
+            found.append(values[np.argsort(places, kind="stable")][: jaccard.needed(len(x))])
+        return np.concatenate([np.zeros(0, np.uint64), *found])
+
     for a in [4, 5, 7, 8, 13, 16, 30, 31, 32, 63, 64, 100, 127, 128, 300, 1000]:
         for _ in range(20):
             x = np.unique(rng.integers(0, 2**64, a, dtype=np.uint64))
@@ -101,9 +109,35 @@ def test_signatures_of_linked_sets_meet():
             y = np.unique(np.concatenate([x[rng.permutation(a)[drop:]], rng.integers(0, 2**64, add, dtype=np.uint64)]))
             common = len(np.intersect1d(x, y))
             if 100 * common >= 80 * (len(x) + len(y) - common):
-                for frequent in (nothing, x[::2].copy()):
-                    meet = np.intersect1d(jaccard.signatures(x, frequent), jaccard.signatures(y, frequent))
-                    assert len(meet) or (len(x) == len(y) == common)
+                for order in (0, 12345, 99991):
+                    if len(first(x, 0)) > jaccard.needed(a) or len(first(y, 0)) > jaccard.needed(len(y)) or a.bit_length() == len(y).bit_length():
+                        assert len(np.intersect1d(first(x, order), first(y, order))) or (len(x) == len(y) == common)
+
+
+def test_links_through_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, three = list(words), list(words)
+    one[0:4], three[56:60] = ["a", "b", "c", "d"], ["e", "f", "g", "h"]
+    rows = [(1, " ".join(one)), (None, " ".join(words)), (3, " ".join(three)), (None, "only " + " ".join(words[:20])), (None, "Only " + " ".join(words[:20]) + " more"), (None, None)]
+    found = got(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == brute(rows) and {c for d, _, c in found if d in (1, 3)} == {1}
+
+
+def test_a_passage_in_many_texts_makes_no_candidates(spark):
+    """Texts that share a passage but not most of their words meet under none of their signatures."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(50)]
+    rows = [(i, " ".join([*passage, *[f"x{rng.randrange(10**9)}" for _ in range(60)]])) for i in range(60)]
+    rows += [(100 + i, text.replace("p7 ", "q7 ")) for i, text in rows[:5]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard.jaccard_components(frame)) == brute(rows)
+    from pyspark.sql import functions as F
+
+    found = jaccard._find(frame.withColumn("key", F.xxhash64("text")), 5)
+    nodes = found.filter("kind = 0 AND n > 0").groupBy("node", "n", "even", "odd").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "key")).alias("row"))
+    members = jaccard._members(found, nodes)
+    met = members.groupBy("sig").count().filter("count > 1").agg(F.max("count")).first()[0]
+    assert met == 2
 
 
 def test_sketch_distance_is_at_most_the_difference():

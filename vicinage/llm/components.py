@@ -25,3 +25,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b", parts: int | None =
         labels = moved.select("node", "label")
         if moved.filter("was <> label").isEmpty():
             return labels
+
+
+def contract(labels: DataFrame, links: DataFrame, parts: int | None = None) -> DataFrame:
+    """``labels`` (node, label) once the components named in ``links`` (two columns of labels) are one:
+    the work is in proportion to the links between components, however large these are."""
+    a, b = links.columns
+    between = links.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    if between.isEmpty():
+        return labels
+    merged = components(between, parts=parts).select(F.col("node").alias("of"), F.col("label").alias("now"))
+    moved = labels.join(merged, F.col("label") == F.col("of"), "left")
+    return materialize(moved.select("node", F.coalesce("now", "label").alias("label")), "labels", parts)
