@@ -81,11 +81,28 @@ def validate(df: DataFrame, vector: str, width: int | None = None) -> int:
     return row["low"] or 0
 
 
+def usable(vector: Column | str) -> Column:
+    """Whether a vector is not null and every component is a finite number."""
+    v = _col(vector)
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def usable_rows(df: DataFrame, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+    """The rows that take part in searches: with an id and a usable vector."""
+    return df.filter(F.col(id_col).isNotNull() & usable(vector))
+
+
 def matrix(column) -> np.ndarray:
-    """A list column of equal lengths as a matrix of doubles."""
+    """A list column of equal lengths as a matrix of doubles; ValueError for nulls and other lengths."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if len(column) and len(flat) % len(column):
+    if not len(column):
+        return np.zeros((0, 0))
+    offsets = np.asarray(column.offsets)
+    lengths = np.diff(offsets)
+    values = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    if column.null_count or values.null_count:
+        raise ValueError("a vector is null or holds nulls")
+    if (lengths != lengths[0]).any():
         raise ValueError("vectors are not all of one length")
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    return values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import matrix
+from ..functions.vectors import matrix, usable_rows
 from ..storage import materialize
 from . import metrics, search
 from .directions import make_directions
@@ -33,14 +33,16 @@ class Forest:
 
     levels: depth of the trees; by default as many as leaves of ``leafsize`` rows need, and 0 means
     one leaf, an exact search. ids (id) lists the rows of sparse points that may have no entries.
-    directions(tree) -> matrix (levels, width) replaces the drawn ones."""
+    directions(tree) -> matrix (levels, width) replaces the drawn ones.
+    Rows without id and vectors that are null or hold nulls, NaN or infinities take no part; rows that
+    repeat an id are in the trees each and one entry in the graph; no points at all are an error."""
 
     def __init__(self, points: DataFrame, *, leafsize: int = 512, levels: int | None = None, seed: int = 0, kind: str = "gaussian_qr", width: int | None = None, ids: DataFrame | None = None, directions: Callable[[int], np.ndarray] | None = None, fused_rows: int = FUSED_ROWS, node_rows: int = NODE_ROWS):
         self.sparse = {"col", "val"} <= set(points.columns)
         if not self.sparse and "embedding" not in points.columns:
             raise SearchError("points need (id, embedding) or (id, col, val)")
-        self.points = points.select("id", "col", "val") if self.sparse else points.select(F.col("id").cast("long").alias("id"), "embedding")
-        self.ids = (ids if ids is not None else points).select("id").distinct() if self.sparse else points.select("id")
+        self.points = points.select("id", "col", "val") if self.sparse else usable_rows(points).select(F.col("id").cast("long").alias("id"), "embedding")
+        self.ids = (ids if ids is not None else points).select("id").filter("id IS NOT NULL").distinct() if self.sparse else self.points.select("id")
         self.n = self.ids.count()
         if self.n == 0:
             raise SearchError("no points")
@@ -154,7 +156,7 @@ class Forest:
         the nodes' medians and searched in the leaf it comes to."""
         if self.sparse:
             raise SearchError("queries are routed through dense forests only")
-        asked = queries.select(F.col("id").cast("long").alias("id"), "embedding")
+        asked = usable_rows(queries).select(F.col("id").cast("long").alias("id"), "embedding")
         tables = []
         for t in range(ntrees):
             projected, directions = self.projected(t), self.directions(t)

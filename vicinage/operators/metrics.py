@@ -29,16 +29,21 @@ def recall_ids(truth: DataFrame, approx: DataFrame) -> DataFrame:
     return _share(truth.join(approx.select("query_id", "neighbor_id").distinct(), ["query_id", "neighbor_id"]), truth, "recall")
 
 
-def recall_at_k(truth: DataFrame, approx: DataFrame, k_list: list[int] | None = None, tolerance: float = 0.0) -> DataFrame:
-    """(k, recall): recall by distance of the first k columns for several k; by default 2, a quarter,
-    half and three quarters of the truth's k, and all."""
+def recall_at_k(truth: DataFrame, approx: DataFrame, k_list: list[int] | None = None, tolerance: float = 0.0, id_only: bool = False) -> DataFrame:
+    """(k, recall): recall by distance, or with ``id_only`` by neighbour, of the first k columns for
+    several k; by default 2, a quarter, half and three quarters of the truth's k, and all."""
     if k_list is None:
         k = truth.agg(F.max("rank")).first()[0] or 0
         k_list = sorted({x for x in (2, k // 4, k // 2, 3 * k // 4, k) if 0 < x <= k})
     ks = F.explode(F.array(*[F.lit(int(x)) for x in k_list])).alias("k")
     true = truth.select("*", ks).filter(F.col("rank") <= F.col("k")).groupBy("k", "query_id").agg(F.max("dist").alias("kth"), F.count(F.lit(1)).alias("n"))
-    found = approx.select("query_id", "rank", "dist", ks).filter(F.col("rank") <= F.col("k"))
-    hits = found.join(true, ["k", "query_id"]).filter(F.col("dist") <= F.col("kth") + tolerance).groupBy("k").agg(F.count(F.lit(1)).alias("hits"))
+    found = approx.select("query_id", "neighbor_id", "rank", "dist", ks).filter(F.col("rank") <= F.col("k"))
+    if id_only:
+        right = truth.select("query_id", "neighbor_id", ks, F.col("rank").alias("place")).filter(F.col("place") <= F.col("k"))
+        near = found.join(right, ["k", "query_id", "neighbor_id"])
+    else:
+        near = found.join(true, ["k", "query_id"]).filter(F.col("dist") <= F.col("kth") + tolerance)
+    hits = near.groupBy("k").agg(F.count(F.lit(1)).alias("hits"))
     return true.groupBy("k").agg(F.sum("n").alias("wanted")).join(hits, "k", "left").select(F.col("k").cast("long").alias("k"), (F.coalesce("hits", F.lit(0)) / F.col("wanted")).alias("recall"))
 
 
@@ -59,9 +64,9 @@ def row_mean_sim(approx: DataFrame) -> DataFrame:
     return approx.groupBy("query_id").agg(F.avg("dist").alias("mean_sim"))
 
 
-def check_accuracy(truth: DataFrame, approx: DataFrame) -> DataFrame:
+def check_accuracy(truth: DataFrame, approx: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """recall, rel_err and mean_sim in one row."""
-    return recall_distance(truth, approx).join(kth_error(truth, approx), F.lit(True)).join(mean_sim(approx), F.lit(True))
+    return recall_distance(truth, approx, tolerance).join(kth_error(truth, approx), F.lit(True)).join(mean_sim(approx), F.lit(True))
 
 
 def frobenius_error(truth: DataFrame, approx: DataFrame) -> DataFrame:

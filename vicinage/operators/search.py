@@ -2,7 +2,10 @@
 
 Results are neighbour tables (query_id, rank, neighbor_id, dist): squared Euclidean distance unless
 ``metric`` is `euclidean`, ascending, ties by neighbor_id, a row its own neighbour unless
-``include_self`` is false, and fewer than k rows where there are fewer candidates.
+``include_self`` is false, and fewer than k rows where there are fewer candidates. Rows without id and
+vectors that are null or hold nulls, NaN or infinities take no part, neither as queries nor as points;
+vectors of unequal length are an error; rows that repeat an id are candidates each, and as queries give
+one list of neighbours together; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -12,9 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import sparse
-from ..functions.vectors import doubles, matrix, sqdist
-from .exchange import global_rank
+from ..functions.vectors import doubles, matrix, sqdist, usable_rows
 from .merge import top_k
 
 #: Rows of a block of queries and of points that meet in one matrix product.
@@ -75,10 +76,23 @@ def blocks(df: DataFrame, rows: int, id_col: str, embedding: str) -> DataFrame:
                 x = matrix(part.column(1))
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["ids", "width", "data"])
 
-    picked = df.select(F.col(id_col).cast("long").alias("id"), doubles(embedding).alias("e"))
+    picked = usable_rows(df, id_col, embedding).select(F.col(id_col).cast("long").alias("id"), doubles(embedding).alias("e"))
     return picked.mapInArrow(pack, "ids binary, width int, data binary")
 
 
+def _cells(q: DataFrame, p: DataFrame, queries: DataFrame, points: DataFrame) -> DataFrame:
+    """Packed blocks of both sides (ids first) met in a grid of cells: each block of queries goes to every
+    column of cells, each block of points to every row, so cells are tasks of equal work and no key
+    gathers a side."""
+    target = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = max(1, min(-(-points.count() // POINT_BLOCK), target))
+    down = max(1, min(-(-queries.count() // QUERY_BLOCK), -(-target // across)))
+    q = q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns])
+    q = q.withColumn("row", F.pmod(F.xxhash64("q_ids"), F.lit(down))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    p = p.withColumn("column", F.pmod(F.xxhash64("ids"), F.lit(across)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+    return p.join(q, ["row", "column"])
+
+
 def exact_knn(queries: DataFrame, points: DataFrame, k: int, *, id_col: str = "id", embedding: str = "embedding", metric: str = "sqeuclidean", include_self: bool = True, engine: str = "blocks") -> DataFrame:
     """The k nearest points of every query, by testing all of them.
 
@@ -86,22 +100,13 @@ def exact_knn(queries: DataFrame, points: DataFrame, k: int, *, id_col: str = "i
     `sql` is the same as one declarative plan, for small sides and as its check."""
     _check(k)
     if engine == "sql":
-        q = queries.select(F.col(id_col).alias("query_id"), F.col(embedding).alias("q_e"))
-        p = points.select(F.col(id_col).alias("neighbor_id"), F.col(embedding).alias("p_e"))
+        q = usable_rows(queries, id_col, embedding).select(F.col(id_col).alias("query_id"), F.col(embedding).alias("q_e"))
+        p = usable_rows(points, id_col, embedding).select(F.col(id_col).alias("neighbor_id"), F.col(embedding).alias("p_e"))
         pairs = q.join(p, F.lit(True) if include_self else F.col("query_id") != F.col("neighbor_id"))
         return finish(top_k(pairs.select("query_id", "neighbor_id", sqdist("q_e", "p_e").alias("dist")), k), metric)
     if engine != "blocks":
         raise ValueError("engine must be blocks or sql")
-    # A grid of cells: each block of queries goes to every column of cells, each block of points to every
-    # row, so cells are tasks of equal work and no key gathers a side.
-    target = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = max(1, min(-(-points.count() // POINT_BLOCK), target))
-    down = max(1, min(-(-queries.count() // QUERY_BLOCK), -(-target // across)))
-    q = blocks(queries, QUERY_BLOCK, id_col, embedding).select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
-    q = q.withColumn("row", F.pmod(F.xxhash64("q_ids"), F.lit(down))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    p = blocks(points, POINT_BLOCK, id_col, embedding)
-    p = p.withColumn("column", F.pmod(F.xxhash64("ids"), F.lit(across)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
-    pairs = p.join(q, ["row", "column"])
+    pairs = _cells(blocks(queries, QUERY_BLOCK, id_col, embedding), blocks(points, POINT_BLOCK, id_col, embedding), queries, points)
 
     def meet(batches):
         for batch in batches:
@@ -128,34 +133,157 @@ def exact_knn_chunked(queries: DataFrame, points: DataFrame, k: int, chunks: lis
 
 
 def pairwise_sqdist(queries: DataFrame, points: DataFrame, id_col: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(i, j, dist): the whole distance matrix, which is the result asked for."""
-    q = queries.select(F.col(id_col).alias("i"), F.col(embedding).alias("a"))
-    p = points.select(F.col(id_col).alias("j"), F.col(embedding).alias("b"))
-    return q.join(p, F.lit(True)).select("i", "j", sqdist("a", "b").alias("dist"))
+    """(i, j, dist): the whole distance matrix, which is the result asked for, a cell of blocks a task."""
+    pairs = _cells(blocks(queries, QUERY_BLOCK, id_col, embedding), blocks(points, POINT_BLOCK, id_col, embedding), queries, points)
+
+    def meet(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                p_ids, q_ids = (np.frombuffer(r[c], np.int64) for c in ("ids", "q_ids"))
+                p, x = (np.frombuffer(r[c], np.float64).reshape(len(ids), -1) for c, ids in (("data", p_ids), ("q_data", q_ids)))
+                if p.shape[1] != x.shape[1]:
+                    raise ValueError(f"vectors of {x.shape[1]} and of {p.shape[1]} components")
+                for a in range(len(q_ids)):
+                    gap = p - x[a]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p_ids), q_ids[a])), pa.array(p_ids), pa.array(np.einsum("ij,ij->i", gap, gap))], ["i", "j", "dist"])
+
+    return pairs.mapInArrow(meet, "i long, j long, dist double")
+
+
+def sparse_rows(points: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, cols, vals) a row of sparse points (id, col, val), by column; ids (id) adds the rows without
+    entries. Entries without id, column or a finite value take no part."""
+    kept = points.filter(F.col("id").isNotNull() & F.col("col").isNotNull() & ~F.isnan(F.col("val").cast("double")) & (F.abs(F.col("val").cast("double")) < float("inf")))
+    held = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("col").cast("long").alias("col"), F.col("val").cast("double").alias("val")))).alias("e"))
+    held = held.select(F.col("id").cast("long").alias("id"), F.col("e.col").alias("cols"), F.col("e.val").alias("vals"))
+    if ids is None:
+        return held
+    rest = ids.filter("id IS NOT NULL").select(F.col("id").cast("long").alias("id")).distinct().join(held.select("id"), "id", "left_anti")
+    return held.unionByName(rest.select("id", F.array().cast("array<bigint>").alias("cols"), F.array().cast("array<double>").alias("vals")))
+
+
+class Entries:
+    """Rows of a sparse matrix in memory: row and column of every entry, values, squared norms."""
+
+    def __init__(self, sizes: np.ndarray, cols: np.ndarray, vals: np.ndarray):
+        self.n, self.row, self.col, self.val = len(sizes), np.repeat(np.arange(len(sizes)), sizes), cols, vals
+        self.norm = np.bincount(self.row, vals * vals, self.n)
+
+    @classmethod
+    def of(cls, cols, vals) -> Entries:
+        """From two list columns."""
+        cols, vals = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (cols, vals))
+        return cls(np.diff(np.asarray(cols.offsets)), *(c.flatten().to_numpy(zero_copy_only=False) for c in (cols, vals)))
+
+    def part(self, a: int, b: int) -> Entries:
+        low, high = np.searchsorted(self.row, (a, b))
+        return Entries(np.bincount(self.row[low:high] - a, minlength=b - a), self.col[low:high], self.val[low:high])
+
+
+#: Columns of a dense piece, products of a sparse one, of a sparse matrix product in memory.
+COLUMNS, PRODUCTS = 1024, 1 << 21
+
+
+def sparse_dots(a: Entries, b: Entries) -> np.ndarray:
+    """All inner products of the rows of a and b. Columns that many rows of both have go through dense
+    pieces and matrix products; of the others only the products that occur are summed."""
+    out = np.zeros((a.n, b.n))
+    common = np.intersect1d(a.col, b.col)
+    if not len(common):
+        return out
+    sides = []
+    for m in (a, b):
+        at = np.minimum(np.searchsorted(common, m.col), len(common) - 1)
+        held = common[at] == m.col
+        sides.append((m.row[held], at[held], m.val[held]))
+    (ra, ca, va), (rb, cb, vb) = sides
+    na, nb = np.bincount(ca, minlength=len(common)), np.bincount(cb, minlength=len(common))
+    heavy = na * nb * 128 > a.n * b.n
+    number = np.cumsum(heavy) - 1
+    for first in range(0, int(heavy.sum()), COLUMNS):
+        dense = []
+        for m, r, c, v in ((a, ra, ca, va), (b, rb, cb, vb)):
+            own = heavy[c] & (number[c] >= first) & (number[c] < first + COLUMNS)
+            width = min(COLUMNS, int(heavy.sum()) - first)
+            dense.append(np.bincount(r[own] * width + number[c[own]] - first, v[own], m.n * width).reshape(m.n, width))
+        out += dense[0] @ dense[1].T
+    light = ~heavy[ca]
+    ra, ca, va = ra[light], ca[light], va[light]
+    if len(ra):
+        order = np.argsort(cb, kind="stable")
+        rb, vb = rb[order], vb[order]
+        begin, size = (np.cumsum(nb) - nb)[ca], nb[ca]
+        cuts = np.searchsorted(np.cumsum(size), np.arange(PRODUCTS, size.sum() + PRODUCTS, PRODUCTS))
+        low = 0
+        for high in np.unique(np.append(cuts + 1, len(ra))).clip(max=len(ra)):
+            n = size[low:high]
+            entry = np.repeat(np.arange(low, high), n)
+            other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[low:high], n)
+            out += np.bincount(ra[entry] * b.n + rb[other], va[entry] * vb[other], a.n * b.n).reshape(a.n, b.n)
+            low = high
+    return out
+
+
+def nearest_sparse(q_ids: np.ndarray, q: Entries, p_ids: np.ndarray, p: Entries, k: int, include_self: bool = True):
+    """nearest() for sparse rows; the distance of a row to itself is 0."""
+    dist = np.maximum(q.norm[:, None] + p.norm[None, :] - 2.0 * sparse_dots(q, p), 0.0)
+    same = q_ids[:, None] == p_ids[None, :]
+    dist[same] = 0.0 if include_self else np.inf
+    want = min(len(p_ids), k)
+    limit = np.partition(dist, want - 1, axis=1)[:, want - 1] if want else np.zeros(len(q_ids))
+    row, at = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+    exact = dist[row, at]
+    order = np.lexsort((p_ids[at], exact, row))
+    row, at, exact = row[order], at[order], exact[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q_ids)))[row] < k
+    return q_ids[row[keep]], p_ids[at[keep]], exact[keep]
+
+
+def sparse_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(id, cols, vals) as packed blocks (ids, sizes, cols, vals) of at most ``size`` rows."""
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                cols, vals = part.column("cols"), part.column("vals")
+                cells = [part.column("id").to_numpy(), np.diff(np.asarray(cols.offsets)).astype(np.int64), cols.flatten().to_numpy(), vals.flatten().to_numpy()]
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["ids", "sizes", "cols", "vals"])
+
+    return rows.mapInArrow(pack, "ids binary, sizes binary, cols binary, vals binary")
 
 
 def exact_knn_sparse(queries: DataFrame, points: DataFrame, k: int, *, query_ids: DataFrame | None = None, point_ids: DataFrame | None = None, metric: str = "sqeuclidean", include_self: bool = True) -> DataFrame:
     """The k nearest of sparse rows (id, col, val); query_ids and point_ids (id) add rows without entries.
 
-    Rows that share a column meet in a join on it. Rows that share none are |q|^2 + |p|^2 apart, so of
-    them only those of smallest norm matter: a query with c sharing rows needs no more than the k + c
-    rows of smallest norm, which meet it by their rank instead of in a grid of all pairs."""
+    Packed blocks of rows meet in the grid of exact_knn(), so a column that very many rows have is no
+    hot key, and a cell gives out k rows a query."""
     _check(k)
-    q_norms = sparse.row_norms(queries, query_ids).select(F.col("id").alias("query_id"), F.col("sqnorm").alias("q2"))
-    p_norms = sparse.row_norms(points, point_ids).select(F.col("id").alias("neighbor_id"), F.col("sqnorm").alias("p2"))
-    shared = sparse.inner(queries, points).select(F.col("i").alias("query_id"), F.col("j").alias("neighbor_id"), "val")
-    counts = shared.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"))
-    by_norm = global_rank(p_norms, [], ["p2", "neighbor_id"], "place")
-    extra = 1 if include_self else 2
-    asked = q_norms.join(counts, "query_id", "left").select("query_id", "q2", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("c", F.lit(0)) + k + extra)).alias("place"))
-    apart = asked.join(by_norm, "place").select("query_id", "neighbor_id", "q2", "p2").join(shared.select("query_id", "neighbor_id"), ["query_id", "neighbor_id"], "left_anti")
-    apart = apart.select("query_id", "neighbor_id", (F.col("q2") + F.col("p2")).alias("dist"))
-    near = shared.join(q_norms, "query_id").join(p_norms, "neighbor_id")
-    near = near.select("query_id", "neighbor_id", F.greatest(F.col("q2") + F.col("p2") - 2 * F.col("val"), F.lit(0.0)).alias("dist"))
-    pairs = near.unionByName(apart)
-    if not include_self:
-        pairs = pairs.filter("query_id <> neighbor_id")
-    return finish(top_k(pairs, k), metric)
+    q, p = sparse_rows(queries, query_ids), sparse_rows(points, point_ids)
+    pairs = _cells(sparse_blocks(q, QUERY_BLOCK), sparse_blocks(p, QUERY_BLOCK), q, p)
+
+    def unpack(r, prefix=""):
+        ids, sizes, cols = (np.frombuffer(r[prefix + c], np.int64) for c in ("ids", "sizes", "cols"))
+        return ids, Entries(sizes, cols, np.frombuffer(r[prefix + "vals"], np.float64))
+
+    def meet(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c not in ("row", "column")}
+                (p_ids, p), (q_ids, q) = unpack(r), unpack(r, "q_")
+                for at in range(0, len(q_ids), 512):
+                    yield _batch(nearest_sparse(q_ids[at : at + 512], q.part(at, min(at + 512, len(q_ids))), p_ids, p, k, include_self))
+
+    return finish(top_k(pairs.mapInArrow(meet, PAIRS), k), metric)
+
+
+def exact_knn_sparse_chunked(queries: DataFrame, points: DataFrame, k: int, chunks: list, *, metric: str = "sqeuclidean", **options) -> DataFrame:
+    """exact_knn_sparse over disjoint chunks of the points (filters on them), merged."""
+    tables = [exact_knn_sparse(queries, points.filter(c), k, **options) for c in chunks]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return finish(top_k(out, k), metric)
 
 
 def leaf_pairs(members: DataFrame, k: int, group: tuple[str, ...] = ("leaf_id",), include_self: bool = True) -> DataFrame:
@@ -167,7 +295,7 @@ def leaf_pairs(members: DataFrame, k: int, group: tuple[str, ...] = ("leaf_id",)
         parts = [nearest(ids[a : a + 512], x[a : a + 512], ids, x, k, include_self) for a in range(0, len(ids), 512)]
         return pa.Table.from_batches([_batch(p) for p in parts])
 
-    rows = members.select(*group, F.col("id").cast("long").alias("id"), "embedding")
+    rows = usable_rows(members).select(*group, F.col("id").cast("long").alias("id"), "embedding")
     return rows.groupBy(*group).applyInArrow(search, PAIRS)
 
 
@@ -175,6 +303,7 @@ def leaf_knn(members: DataFrame, k: int, *, group: tuple[str, ...] = ("leaf_id",
     """Nearest neighbours within leaves. `sql` joins the members of a leaf in one declarative plan."""
     _check(k)
     if engine == "sql":
+        members = usable_rows(members)
         q = members.select(*group, F.col("id").alias("query_id"), F.col("embedding").alias("q_e"))
         p = members.select(*group, F.col("id").alias("neighbor_id"), F.col("embedding").alias("p_e"))
         pairs = q.join(p, list(group))
@@ -196,7 +325,7 @@ def leaf_knn_queries(queries: DataFrame, members: DataFrame, k: int, *, metric:
         return pa.Table.from_batches([_batch(nearest(q_ids[a : a + 512], x[a : a + 512], p_ids, y, k)) for a in range(0, len(q_ids), 512)])
 
     def side(df: DataFrame):
-        return df.select("leaf_id", F.col("id").cast("long").alias("id"), "embedding").groupBy("leaf_id")
+        return usable_rows(df).select("leaf_id", F.col("id").cast("long").alias("id"), "embedding").groupBy("leaf_id")
 
     return finish(top_k(side(queries).cogroup(side(members)).applyInArrow(search, PAIRS), k), metric)
 
@@ -208,6 +337,7 @@ def leaf_knn_overlap(ordered: DataFrame, k: int, overlap: int, *, metric: str =
     The range join is an equi-join on buckets of positions as wide as the widest window; a leaf's
     window touches two or three buckets."""
     _check(k)
+    ordered = usable_rows(ordered)
     windows = ordered.groupBy("leaf_id").agg((F.min("pos") - overlap).alias("low"), (F.max("pos") + overlap).alias("high"))
     width = windows.agg(F.max(F.col("high") - F.col("low") + 1)).first()[0] or 1
     wanted = windows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
@@ -219,24 +349,18 @@ def leaf_knn_overlap(ordered: DataFrame, k: int, overlap: int, *, metric: str =
 
 
 def leaf_knn_sparse(points: DataFrame, leaves: DataFrame, k: int, *, group: tuple[str, ...] = ("leaf_id",), metric: str = "sqeuclidean", include_self: bool = True) -> DataFrame:
-    """leaf_knn for sparse points (id, col, val) and leaves (group, id), rows without entries included.
-
-    Inner products come from a join on (leaf, column), which is the block-diagonal product of all
-    leaves at once; members of a leaf that share no column are the sum of their norms apart."""
+    """leaf_knn for sparse points (id, col, val) and leaves (group, id), rows without entries included:
+    a leaf's rows meet in one task, which multiplies them there and gives out k rows a point."""
     _check(k)
-    norms = leaves.join(sparse.row_norms(points), "id", "left").select(*group, "id", F.coalesce("sqnorm", F.lit(0.0)).alias("n2"))
-    held = leaves.join(points, "id")
-    left = held.select(*group, F.col("id").alias("query_id"), "col", F.col("val").alias("a"))
-    right = held.select(*group, F.col("id").alias("neighbor_id"), "col", F.col("val").alias("b"))
-    dots = left.join(right, [*group, "col"]).groupBy(*group, "query_id", "neighbor_id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    q = norms.select(*group, F.col("id").alias("query_id"), F.col("n2").alias("q2"))
-    p = norms.select(*group, F.col("id").alias("neighbor_id"), F.col("n2").alias("p2"))
-    pairs = q.join(p, list(group))
-    if not include_self:
-        pairs = pairs.filter("query_id <> neighbor_id")
-    pairs = pairs.join(dots, [*group, "query_id", "neighbor_id"], "left")
-    distance = F.greatest(F.col("q2") + F.col("p2") - 2 * F.coalesce("dot", F.lit(0.0)), F.lit(0.0))
-    pairs = pairs.select("query_id", "neighbor_id", distance.alias("dist"))
+
+    def search(table: pa.Table) -> pa.Table:
+        ids, x = table.column("id").to_numpy(), Entries.of(table.column("cols"), table.column("vals"))
+        parts = [nearest_sparse(ids[a : a + 512], x.part(a, min(a + 512, len(ids))), ids, x, k, include_self) for a in range(0, len(ids), 512)]
+        return pa.Table.from_batches([_batch(p) for p in parts])
+
+    members = leaves.select(*group, F.col("id").cast("long").alias("id")).join(sparse_rows(points), "id", "left")
+    members = members.select(*group, "id", F.coalesce("cols", F.array().cast("array<bigint>")).alias("cols"), F.coalesce("vals", F.array().cast("array<double>")).alias("vals"))
+    pairs = members.groupBy(*group).applyInArrow(search, PAIRS)
     if len(group) > 1:
         pairs = pairs.groupBy("query_id", "neighbor_id").agg(F.min("dist").alias("dist"))
     return finish(top_k(pairs, k), metric)

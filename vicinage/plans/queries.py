@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from functools import cache, partial
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,23 +17,20 @@ from pyspark.sql import functions as F
 
 from ..functions import sparse, vectors
 from ..operators import exchange, merge, metrics, search, tree
-from ..operators.directions import directions_frame, make_directions, orthoproj
+from ..operators.directions import directions_frame, load_directions, make_directions, orthoproj, save_directions
 from ..operators.forest import Forest
 from ..sources import generators, readers, writers
-from ..storage import fresh_path, local_path
+from ..storage import fresh_path, local_path, materialize
 
-K, LEVELS, TREES, WIDTH, NQ = 8, 3, 3, 64, 100
+K, LEVELS, TREES, WIDTH = 8, 3, 3, 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, ids: bool = False):
-    """Register a query under its function's name, with its SQL if it has one. The SQL of some takes
-    the first ``ids`` only; they are also registered as NAME_all, over whole tables and without SQL."""
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has one."""
     def add(f):
         QUERIES[f.__name__] = f
-        if ids:
-            QUERIES[f.__name__ + "_all"] = partial(f, whole=True)
         if sql is not None:
             ORACLES[f.__name__] = sql
         return f
@@ -48,10 +45,6 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
 
 
-def below(rows: DataFrame, limit: int, whole: bool, id_col: str = "id") -> DataFrame:
-    return rows if whole else rows.filter(F.col(id_col) < limit)
-
-
 def sparse_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.entries(dense(spark, sf_dir), "id", "embedding", 0.15)
 
@@ -100,7 +93,7 @@ def ranked(pairs: str, k: int = K, dist: str = "dist") -> str:
     return f"SELECT query_id, rank, neighbor_id, round({dist}, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS rank FROM ({pairs})) WHERE rank <= {k}"
 
 
-EXACT = f"SELECT q.id AS query_id, r.id AS neighbor_id, {sqd('q.e', 'r.e')} AS dist FROM p q, p r WHERE q.id < {NQ}"
+EXACT = f"SELECT q.id AS query_id, r.id AS neighbor_id, {sqd('q.e', 'r.e')} AS dist FROM p q, p r"
 
 
 def leaves_sql(t: int, name: str, points: str = "p", sparse_: bool = False) -> str:
@@ -140,40 +133,40 @@ SPARSE_PAIRS = "n AS (SELECT id, sum(val * val) AS n2 FROM s GROUP BY 1), d AS (
 # ---- rows and distances -------------------------------------------------------------------------
 
 
-@query(f"WITH {P} {ranked(EXACT)}", ids=True)
-def exact_knn(spark, sf_dir, whole=False):
+@query(f"WITH {P} {ranked(EXACT)}")
+def exact_knn(spark, sf_dir):
     points = dense(spark, sf_dir)
-    return rounded(search.exact_knn(below(points, NQ, whole), points, K))
+    return rounded(search.exact_knn(points, points, K))
 
 
-@query(f"WITH {P} {ranked(EXACT, dist='sqrt(dist)')}", ids=True)
-def exact_knn_euclidean(spark, sf_dir, whole=False):
+@query(f"WITH {P} {ranked(EXACT, dist='sqrt(dist)')}")
+def exact_knn_euclidean(spark, sf_dir):
     points = dense(spark, sf_dir)
-    return rounded(search.exact_knn(below(points, NQ, whole), points, K, metric="euclidean"))
+    return rounded(search.exact_knn(points, points, K, metric="euclidean"))
 
 
-@query(f"WITH {P} {ranked(EXACT)}", ids=True)
-def exact_knn_sql(spark, sf_dir, whole=False):
+@query(f"WITH {P} {ranked(EXACT)}")
+def exact_knn_sql(spark, sf_dir):
     points = dense(spark, sf_dir)
-    return rounded(search.exact_knn(below(points, NQ, whole), points, K, engine="sql"))
+    return rounded(search.exact_knn(points, points, K, engine="sql"))
 
 
-@query(f"WITH {P} {ranked(EXACT + ' AND q.id <> r.id')}", ids=True)
-def exact_knn_without_self(spark, sf_dir, whole=False):
+@query(f"WITH {P} {ranked(EXACT + ' WHERE q.id <> r.id')}")
+def exact_knn_without_self(spark, sf_dir):
     points = dense(spark, sf_dir)
-    return rounded(search.exact_knn(below(points, NQ, whole), points, K, include_self=False))
+    return rounded(search.exact_knn(points, points, K, include_self=False))
 
 
-@query(f"WITH {P} {ranked(EXACT)}", ids=True)
-def exact_knn_chunked(spark, sf_dir, whole=False):
+@query(f"WITH {P} {ranked(EXACT)}")
+def exact_knn_chunked(spark, sf_dir):
     points = dense(spark, sf_dir)
-    return rounded(search.exact_knn_chunked(below(points, NQ, whole), points, K, [F.col("id") % 3 == i for i in range(3)]))
+    return rounded(search.exact_knn_chunked(points, points, K, [F.col("id") % 3 == i for i in range(3)]))
 
 
-@query(f"WITH {P} {ranked(EXACT + ' AND r.id % 4 = 1')}", ids=True)
-def local_exact(spark, sf_dir, whole=False):
+@query(f"WITH {P} {ranked(EXACT + ' WHERE r.id % 4 = 1')}")
+def local_exact(spark, sf_dir):
     points = dense(spark, sf_dir)
-    return rounded(search.local_exact(below(points, NQ, whole), points, K, F.col("id") % 4 == 1))
+    return rounded(search.local_exact(points, points, K, F.col("id") % 4 == 1))
 
 
 @query(f"WITH {SP}, {SPARSE_PAIRS} " + ranked("SELECT a.id AS query_id, b.id AS neighbor_id, greatest(a.n2 + b.n2 - 2 * coalesce(d.dot, 0), 0) AS dist FROM n a CROSS JOIN n b LEFT JOIN d ON d.i = a.id AND d.j = b.id"))
@@ -182,10 +175,19 @@ def exact_knn_sparse(spark, sf_dir):
     return rounded(search.exact_knn_sparse(points, points, K))
 
 
-@query(f"WITH {P} SELECT q.id AS i, r.id AS j, round({sqd('q.e', 'r.e')}, 6) AS dist FROM p q, p r WHERE q.id < 50 AND r.id < 200", ids=True)
-def pairwise_sqdist(spark, sf_dir, whole=False):
+SPARSE_EXACT = f"WITH {SP}, {SPARSE_PAIRS} " + ranked("SELECT a.id AS query_id, b.id AS neighbor_id, greatest(a.n2 + b.n2 - 2 * coalesce(d.dot, 0), 0) AS dist FROM n a CROSS JOIN n b LEFT JOIN d ON d.i = a.id AND d.j = b.id")
+
+
+@query(SPARSE_EXACT)
+def exact_knn_sparse_chunked(spark, sf_dir):
+    points = sparse_sp(spark, sf_dir)
+    return rounded(search.exact_knn_sparse_chunked(points, points, K, [F.col("id") % 3 == i for i in range(3)]))
+
+
+@query(f"WITH {P} SELECT q.id AS i, r.id AS j, round({sqd('q.e', 'r.e')}, 6) AS dist FROM p q, p r")
+def pairwise_sqdist(spark, sf_dir):
     points = dense(spark, sf_dir)
-    return rounded(search.pairwise_sqdist(below(points, 50, whole), below(points, 200, whole)))
+    return rounded(search.pairwise_sqdist(points, points))
 
 
 @query(f"WITH {P} SELECT id, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS sqnorm FROM p")
@@ -232,10 +234,10 @@ def project_sparse(spark, sf_dir):
     return rounded(sparse.multiply_dense(sparse_emb(spark, sf_dir), directions_frame(spark, directions(0))), "proj")
 
 
-@query(f"WITH {S} SELECT a.id AS i, b.id AS j, round(sum(a.val * b.val), 6) AS val FROM s a JOIN s b ON a.col = b.col WHERE a.id < {NQ} GROUP BY 1, 2", ids=True)
-def spgemm(spark, sf_dir, whole=False):
+@query(f"WITH {S} SELECT a.id AS i, b.id AS j, round(sum(a.val * b.val), 6) AS val FROM s a JOIN s b ON a.col = b.col GROUP BY 1, 2")
+def spgemm(spark, sf_dir):
     points = sparse_emb(spark, sf_dir)
-    return rounded(sparse.inner(below(points, NQ, whole), points), "val")
+    return rounded(sparse.inner(points, points), "val")
 
 
 @query(f"WITH {S} SELECT a.id AS i, b.id AS j, round(sum(a.val * b.val), 6) AS val FROM s a JOIN s b ON a.col = b.col GROUP BY 1, 2")
@@ -243,11 +245,11 @@ def gram_symmetric(spark, sf_dir):
     return rounded(sparse.gram(sparse.rows(sparse_emb(spark, sf_dir))), "val")
 
 
-@query(f"WITH {S}, g AS (SELECT a.id AS i, b.id AS j, sum(a.val * b.val) AS val FROM s a JOIN s b ON a.col = b.col GROUP BY 1, 2) SELECT x.id AS i, y.id AS j, round(coalesce(g.val, 0), 6) AS val FROM p x CROSS JOIN p y LEFT JOIN g ON g.i = x.id AND g.j = y.id WHERE x.id < 50", ids=True)
-def spgemm_dense(spark, sf_dir, whole=False):
+@query(f"WITH {S}, g AS (SELECT a.id AS i, b.id AS j, sum(a.val * b.val) AS val FROM s a JOIN s b ON a.col = b.col GROUP BY 1, 2) SELECT x.id AS i, y.id AS j, round(coalesce(g.val, 0), 6) AS val FROM p x CROSS JOIN p y LEFT JOIN g ON g.i = x.id AND g.j = y.id")
+def spgemm_dense(spark, sf_dir):
     points, ids = sparse_emb(spark, sf_dir), dense(spark, sf_dir)
-    product = sparse.inner(below(points, 50, whole), points)
-    return rounded(sparse.to_grid(product, below(ids, 50, whole).select(F.col("id").alias("i")), ids.select(F.col("id").alias("j"))), "val")
+    product = sparse.inner(points, points)
+    return rounded(sparse.to_grid(product, ids.select(F.col("id").alias("i")), ids.select(F.col("id").alias("j"))), "val")
 
 
 @query(f"WITH {S} SELECT CAST(col AS INTEGER) AS row, id AS col, round(val, 6) AS val FROM s")
@@ -337,15 +339,15 @@ def _route(level: int) -> str:
     return f"b{level + 1} AS (SELECT b.id, {', '.join(f'x{m}' for m in range(LEVELS))}, b.bin * 2 + CASE WHEN x{level} >= m.median THEN 1 ELSE 0 END AS bin FROM b{level} b LEFT JOIN m ON m.level = {level} AND m.node = b.bin)"
 
 
-BINS = f"{leaves_sql(0, 't0', 'pp')}, m AS ({MEDIANS}), b0 AS (SELECT id, 0 AS bin, " + ", ".join(f"{proj('e', d)} AS x{l}" for l, d in enumerate(directions(0))) + f" FROM p WHERE id < {NQ}), " + ", ".join(_route(l) for l in range(LEVELS))
+BINS = f"{leaves_sql(0, 't0')}, m AS ({MEDIANS}), b0 AS (SELECT id, 0 AS bin, " + ", ".join(f"{proj('e', d)} AS x{l}" for l, d in enumerate(directions(0))) + f" FROM p), " + ", ".join(_route(l) for l in range(LEVELS))
 
 
-@query(f"WITH {P}, pp AS (SELECT * FROM p WHERE id >= {NQ}), {BINS} SELECT id, CAST(bin AS BIGINT) AS leaf_id FROM b{LEVELS}")
+@query(f"WITH {P}, {BINS} SELECT id, CAST(bin AS BIGINT) AS leaf_id FROM b{LEVELS}")
 def bin_queries(spark, sf_dir):
     points = dense(spark, sf_dir)
-    projected = tree.project_dense(points.filter(F.col("id") >= NQ), directions(0))
+    projected = tree.project_dense(points, directions(0))
     medians = tree.node_medians(projected, tree.assign_leaves(projected, LEVELS), LEVELS)
-    return tree.bin_queries(tree.project_dense(points.filter(F.col("id") < NQ), directions(0)), medians, LEVELS)
+    return tree.bin_queries(projected, medians, LEVELS)
 
 
 # ---- leaves and forests -------------------------------------------------------------------------
@@ -405,6 +407,32 @@ def forest_refine(spark, sf_dir):
     return rounded(forest.refine(forest.all_search(K, 1), K, [1, 2]))
 
 
+@query(f"WITH {P}, {forest_ctes(range(2))} {ranked(forest_pairs(range(2)))}")
+def forest_monitored(spark, sf_dir):
+    """A monitor that ends the search after two trees."""
+    return rounded(small_forest(dense(spark, sf_dir)).all_search(K, TREES, monitor=lambda trees, found: trees == 2))
+
+
+@query(f"WITH {P}, {forest_ctes(range(1))} {ranked(forest_pairs(range(1)))}")
+def forest_early_stop(spark, sf_dir):
+    """A recall that the first tree passes."""
+    points = dense(spark, sf_dir)
+    truth = materialize(search.exact_knn(points, points, K), "truth")
+    return rounded(small_forest(points).all_search(K, TREES, truth=truth, threshold=0.05))
+
+
+@query(f"WITH {P}, {forest_ctes(range(1))}, {'truth AS (' + topk_sql(EXACT) + ')'}, approx AS ({topk_sql(forest_pairs(range(1)))}) SELECT CAST(0 AS INTEGER) AS tree, 'recall' AS metric, round((SELECT count(*) FROM approx JOIN (SELECT query_id, max(dist) AS kth FROM truth GROUP BY 1) USING (query_id) WHERE dist <= kth + 1e-9) / (SELECT count(*) FROM truth), 6) AS value")
+def forest_record(spark, sf_dir):
+    """What the search records of its trees."""
+    points = dense(spark, sf_dir)
+    truth = materialize(search.exact_knn(points, points, K), "truth")
+    forest = small_forest(points)
+    forest.all_search(K, TREES, truth=truth, threshold=0.05)
+    path = fresh_path(spark, "record")
+    forest.recorder.write(spark, path)
+    return rounded(spark.read.schema("tree int, metric string, value double").csv(path, header=True), "value")
+
+
 SPARSE_FOREST = deduped(" UNION ALL ".join(f"SELECT a.id AS query_id, b.id AS neighbor_id, greatest(coalesce(x.n2, 0) + coalesce(y.n2, 0) - 2 * coalesce(d.dot, 0), 0) AS dist FROM t{t} a JOIN t{t} b ON a.leaf_id = b.leaf_id LEFT JOIN n x ON x.id = a.id LEFT JOIN n y ON y.id = b.id LEFT JOIN d ON d.i = a.id AND d.j = b.id" for t in range(2)))
 
 
@@ -414,28 +442,28 @@ def forest_knn_sparse(spark, sf_dir):
     return rounded(forest.all_search(K, 2, batch=2))
 
 
-@query(f"WITH {P}, pp AS (SELECT * FROM p WHERE id >= {NQ}), {BINS} " + ranked(f"SELECT q.id AS query_id, t.id AS neighbor_id, {sqd('x.e', 'y.e')} AS dist FROM b{LEVELS} q JOIN t0 t ON t.leaf_id = q.bin JOIN p x ON x.id = q.id JOIN p y ON y.id = t.id"))
+@query(f"WITH {P}, {BINS} " + ranked(f"SELECT q.id AS query_id, t.id AS neighbor_id, {sqd('x.e', 'y.e')} AS dist FROM b{LEVELS} q JOIN t0 t ON t.leaf_id = q.bin JOIN p x ON x.id = q.id JOIN p y ON y.id = t.id"))
 def forest_query_search(spark, sf_dir):
     points = dense(spark, sf_dir)
-    return rounded(small_forest(points.filter(F.col("id") >= NQ)).query_search(points.filter(F.col("id") < NQ), K, 1))
+    return rounded(small_forest(points).query_search(points, K, 1))
 
 
 # ---- merging, sorting, metrics ------------------------------------------------------------------
 
 ONE, TWO = topk_sql(leaf_pairs_sql("t0")), topk_sql(leaf_pairs_sql("t1"))
 TRUTH = f"truth AS ({topk_sql(EXACT)})"
-APPROX = f"approx AS ({topk_sql(deduped(ONE + ' UNION ALL ' + TWO))} AND query_id < {NQ})"
+APPROX = f"approx AS ({topk_sql(deduped(ONE + ' UNION ALL ' + TWO))})"
 KTH = "kth AS (SELECT query_id, max(dist) AS kth, count(*) AS n FROM truth GROUP BY 1)"
 PAIR = f"WITH {P}, {forest_ctes(range(2))}, {TRUTH}, {APPROX}, {KTH}"
 
 
-def _pair(spark, sf_dir, whole=False):
-    """(truth, approx) of the first NQ points or of all, approx from two trees."""
+def _pair(spark, sf_dir):
+    """(truth, approx) of all points, approx from two trees; both written, for they are read repeatedly."""
     points = dense(spark, sf_dir)
-    truth = search.exact_knn(below(points, NQ, whole), points, K, engine="blocks" if whole else "sql")
+    truth = search.exact_knn(points, points, K)
     approx = small_forest(points, fused_rows=0)
     both = merge.merge_neighbors(approx.candidates([0], K), approx.candidates([1], K), k=K)
-    return truth, below(both, NQ, whole, "query_id")
+    return materialize(truth, "truth"), materialize(both, "approx")
 
 
 @query(f"WITH {P}, {forest_ctes(range(2))} {ranked(deduped(ONE + ' UNION ALL ' + TWO))}")
@@ -450,94 +478,113 @@ def row_topk(spark, sf_dir):
     return rounded(merge.row_topk(dense(spark, sf_dir), "embedding", 5), "val")
 
 
+@query(f"WITH {P} SELECT id, row_number() OVER (PARTITION BY id ORDER BY e[i], i) AS rank, i - 1 AS pos, round(e[i], 6) AS val FROM p, range(1, 65) t(i)")
+def sort_rows(spark, sf_dir):
+    return rounded(merge.sort_rows(dense(spark, sf_dir), "embedding"), "val")
+
+
+@query(f"WITH {P} {ranked(EXACT, 3)}")
+def first_columns(spark, sf_dir):
+    return merge.first_columns(exact_knn(spark, sf_dir), 3)
+
+
 @query(f"WITH {P} SELECT row_number() OVER (ORDER BY e[1], id) - 1 AS pos, id FROM p")
 def argsort(spark, sf_dir):
     return exchange.argsort(dense(spark, sf_dir).select("id", F.col("embedding")[0].alias("x")), "x")
 
 
-@query(PAIR + " SELECT (SELECT count(*) FROM approx JOIN kth USING (query_id) WHERE dist <= kth + 1e-9) / (SELECT sum(n) FROM kth) AS recall", ids=True)
-def recall_distance(spark, sf_dir, whole=False):
-    truth, approx = _pair(spark, sf_dir, whole)
+@query(PAIR + " SELECT (SELECT count(*) FROM approx JOIN kth USING (query_id) WHERE dist <= kth + 1e-9) / (SELECT sum(n) FROM kth) AS recall")
+def recall_distance(spark, sf_dir):
+    truth, approx = _pair(spark, sf_dir)
     return metrics.recall_distance(truth, approx, 1e-9)
 
 
-@query(PAIR + " SELECT (SELECT count(*) FROM approx JOIN truth USING (query_id, neighbor_id)) / (SELECT sum(n) FROM kth) AS recall", ids=True)
-def recall_ids(spark, sf_dir, whole=False):
-    return metrics.recall_ids(*_pair(spark, sf_dir, whole))
+@query(PAIR + " SELECT (SELECT count(*) FROM approx JOIN truth USING (query_id, neighbor_id)) / (SELECT sum(n) FROM kth) AS recall")
+def recall_ids(spark, sf_dir):
+    return metrics.recall_ids(*_pair(spark, sf_dir))
 
 
-@query(PAIR + ", ks AS (SELECT * FROM (VALUES (2), (4), (6), (8)) AS v(k)), f AS (SELECT k, query_id, max(dist) AS far, count(*) AS n FROM truth, ks WHERE rank <= k GROUP BY 1, 2) SELECT CAST(f.k AS BIGINT) AS k, sum((SELECT count(*) FROM approx a WHERE a.query_id = f.query_id AND a.rank <= f.k AND a.dist <= f.far + 1e-9)) / sum(f.n) AS recall FROM f GROUP BY 1", ids=True)
-def recall_at_k(spark, sf_dir, whole=False):
-    return metrics.recall_at_k(*_pair(spark, sf_dir, whole), tolerance=1e-9)
+@query(PAIR + ", ks AS (SELECT * FROM (VALUES (2), (4), (6), (8)) AS v(k)), f AS (SELECT k, query_id, max(dist) AS far, count(*) AS n FROM truth, ks WHERE rank <= k GROUP BY 1, 2) SELECT CAST(f.k AS BIGINT) AS k, sum((SELECT count(*) FROM approx a WHERE a.query_id = f.query_id AND a.rank <= f.k AND a.dist <= f.far + 1e-9)) / sum(f.n) AS recall FROM f GROUP BY 1")
+def recall_at_k(spark, sf_dir):
+    return metrics.recall_at_k(*_pair(spark, sf_dir), tolerance=1e-9)
 
 
-@query(PAIR + " SELECT round(avg(abs(got - kth) / kth), 6) AS rel_err FROM kth JOIN (SELECT query_id, max(dist) AS got FROM approx GROUP BY 1) USING (query_id)", ids=True)
-def rel_err(spark, sf_dir, whole=False):
-    return rounded(metrics.kth_error(*_pair(spark, sf_dir, whole)), "rel_err")
+@query(PAIR + ", ks AS (SELECT * FROM (VALUES (2), (4), (6), (8)) AS v(k)) SELECT CAST(ks.k AS BIGINT) AS k, (SELECT count(*) FROM approx a JOIN truth t USING (query_id, neighbor_id) WHERE a.rank <= ks.k AND t.rank <= ks.k) / (SELECT count(*) FROM truth t WHERE t.rank <= ks.k) AS recall FROM ks")
+def recall_at_k_ids(spark, sf_dir):
+    return metrics.recall_at_k(*_pair(spark, sf_dir), id_only=True)
 
 
-@query(PAIR + " SELECT round(avg(dist), 6) AS mean_sim FROM approx", ids=True)
-def mean_sim(spark, sf_dir, whole=False):
-    return rounded(metrics.mean_sim(_pair(spark, sf_dir, whole)[1]), "mean_sim")
+@query(PAIR + " SELECT (SELECT count(*) FROM approx JOIN kth USING (query_id) WHERE dist <= kth + 1e-9) / (SELECT sum(n) FROM kth) AS recall, (SELECT round(avg(abs(got - kth) / kth), 6) FROM kth JOIN (SELECT query_id, max(dist) AS got FROM approx GROUP BY 1) USING (query_id)) AS rel_err, (SELECT round(avg(dist), 6) FROM approx) AS mean_sim")
+def check_accuracy(spark, sf_dir):
+    return rounded(metrics.check_accuracy(*_pair(spark, sf_dir), tolerance=1e-9), "rel_err", "mean_sim")
 
 
-@query(PAIR + " SELECT query_id, round(avg(dist), 6) AS mean_sim FROM approx GROUP BY 1", ids=True)
-def row_mean_sim(spark, sf_dir, whole=False):
-    return rounded(metrics.row_mean_sim(_pair(spark, sf_dir, whole)[1]), "mean_sim")
+@query(PAIR + " SELECT round(avg(abs(got - kth) / kth), 6) AS rel_err FROM kth JOIN (SELECT query_id, max(dist) AS got FROM approx GROUP BY 1) USING (query_id)")
+def rel_err(spark, sf_dir):
+    return rounded(metrics.kth_error(*_pair(spark, sf_dir)), "rel_err")
 
 
-@query(PAIR + " SELECT round(sqrt(sum((a.dist - t.dist) * (a.dist - t.dist))) / sqrt(sum(t.dist * t.dist)), 6) AS frob_err FROM truth t JOIN approx a USING (query_id, rank)", ids=True)
-def frob_error(spark, sf_dir, whole=False):
-    return rounded(metrics.frobenius_error(*_pair(spark, sf_dir, whole)), "frob_err")
+@query(PAIR + " SELECT round(avg(dist), 6) AS mean_sim FROM approx")
+def mean_sim(spark, sf_dir):
+    return rounded(metrics.mean_sim(_pair(spark, sf_dir)[1]), "mean_sim")
 
 
-@query(PAIR + " SELECT count(*) AS misses FROM approx a JOIN kth USING (query_id) WHERE a.dist > kth * (1 + 1e-6) AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.query_id = a.query_id AND t.neighbor_id = a.neighbor_id)", ids=True)
-def miss_count(spark, sf_dir, whole=False):
-    return metrics.miss_count(*_pair(spark, sf_dir, whole))
+@query(PAIR + " SELECT query_id, round(avg(dist), 6) AS mean_sim FROM approx GROUP BY 1")
+def row_mean_sim(spark, sf_dir):
+    return rounded(metrics.row_mean_sim(_pair(spark, sf_dir)[1]), "mean_sim")
 
 
-@query(PAIR + ", w AS (SELECT t.query_id, min(CASE WHEN a.dist IS NULL OR abs(a.dist - t.dist) > 1e-6 * greatest(1, t.dist) THEN t.rank END) AS f, max(t.rank) AS k FROM truth t LEFT JOIN approx a USING (query_id, rank) GROUP BY 1) SELECT CAST(coalesce(sum(k - f + 1), 0) AS BIGINT) AS misses FROM w WHERE f IS NOT NULL", ids=True)
-def miss_count_tol(spark, sf_dir, whole=False):
-    return metrics.miss_count_tolerance(*_pair(spark, sf_dir, whole))
+@query(PAIR + " SELECT round(sqrt(sum((a.dist - t.dist) * (a.dist - t.dist))) / sqrt(sum(t.dist * t.dist)), 6) AS frob_err FROM truth t JOIN approx a USING (query_id, rank)")
+def frob_error(spark, sf_dir):
+    return rounded(metrics.frobenius_error(*_pair(spark, sf_dir)), "frob_err")
 
 
-@query(PAIR + " SELECT avg(CASE WHEN s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS match FROM (SELECT t.query_id, bool_and(coalesce(a.neighbor_id = t.neighbor_id, false)) AS s FROM truth t LEFT JOIN approx a USING (query_id, rank) GROUP BY 1)", ids=True)
-def strict_match(spark, sf_dir, whole=False):
-    return metrics.strict_match(*_pair(spark, sf_dir, whole))
+@query(PAIR + " SELECT count(*) AS misses FROM approx a JOIN kth USING (query_id) WHERE a.dist > kth * (1 + 1e-6) AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.query_id = a.query_id AND t.neighbor_id = a.neighbor_id)")
+def miss_count(spark, sf_dir):
+    return metrics.miss_count(*_pair(spark, sf_dir))
+
+
+@query(PAIR + ", w AS (SELECT t.query_id, min(CASE WHEN a.dist IS NULL OR abs(a.dist - t.dist) > 1e-6 * greatest(1, t.dist) THEN t.rank END) AS f, max(t.rank) AS k FROM truth t LEFT JOIN approx a USING (query_id, rank) GROUP BY 1) SELECT CAST(coalesce(sum(k - f + 1), 0) AS BIGINT) AS misses FROM w WHERE f IS NOT NULL")
+def miss_count_tol(spark, sf_dir):
+    return metrics.miss_count_tolerance(*_pair(spark, sf_dir))
+
+
+@query(PAIR + " SELECT avg(CASE WHEN s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS match FROM (SELECT t.query_id, bool_and(coalesce(a.neighbor_id = t.neighbor_id, false)) AS s FROM truth t LEFT JOIN approx a USING (query_id, rank) GROUP BY 1)")
+def strict_match(spark, sf_dir):
+    return metrics.strict_match(*_pair(spark, sf_dir))
 
 
 # ---- movement -----------------------------------------------------------------------------------
 
-WANTED = "SELECT CAST((i * 37) % 500 AS BIGINT) AS id FROM range(300) t(i)"
+WANTED = "SELECT (vec_id * 37) % (SELECT count(*) FROM embeddings) AS id FROM embeddings"
 
 
-def _wanted(spark):
-    return spark.range(300).select(((F.col("id") * 37) % 500).alias("id"))
+def _wanted(points):
+    """As many requests as rows, some for one row."""
+    return points.select(((F.col("id") * 37) % points.count()).alias("id"))
 
 
 @query(f"WITH {P}, w AS ({WANTED}) SELECT w.id, round(p.e[1], 6) AS first FROM w JOIN p USING (id)")
 def gather_rows(spark, sf_dir):
-    return rounded(exchange.gather(dense(spark, sf_dir), _wanted(spark)).select("id", F.col("embedding")[0].cast("double").alias("first")), "first")
+    return rounded(exchange.gather(dense(spark, sf_dir), _wanted(dense(spark, sf_dir))).select("id", F.col("embedding")[0].cast("double").alias("first")), "first")
 
 
 @query(f"WITH {S}, w AS (SELECT DISTINCT id FROM ({WANTED})) SELECT s.id, CAST(s.col AS INTEGER) AS col, round(s.val, 6) AS val FROM w JOIN s ON s.id = w.id")
 def gather_sparse_rows(spark, sf_dir):
-    return rounded(exchange.gather(sparse_emb(spark, sf_dir), _wanted(spark).distinct()), "val")
+    return rounded(exchange.gather(sparse_emb(spark, sf_dir), _wanted(dense(spark, sf_dir)).distinct()), "val")
 
 
-@query(f"WITH {P} SELECT (499 - id) AS pos, round(e[1], 6) AS first FROM p WHERE id < 500", ids=True)
-def permute_rows(spark, sf_dir, whole=False):
+@query(f"WITH {P} SELECT row_number() OVER (ORDER BY id DESC) - 1 AS pos, round(e[1], 6) AS first FROM p")
+def permute_rows(spark, sf_dir):
+    """All rows in reverse."""
     rows = dense(spark, sf_dir).select("id", F.col("embedding")[0].cast("double").alias("first"))
-    if whole:
-        order = exchange.global_rank(rows.select("id"), [], ["id"], "place").select((rows.count() - F.col("place")).alias("pos"), F.col("id").alias("src"))
-    else:
-        order = spark.range(500).select((499 - F.col("id")).alias("pos"), F.col("id").alias("src"))
+    order = exchange.global_rank(rows.select("id"), [], ["id"], "place").select((rows.count() - F.col("place")).alias("pos"), F.col("id").alias("src"))
     return rounded(exchange.permute(rows, order), "first")
 
 
-@query(f"WITH {P} {ranked(EXACT)}", ids=True)
-def redistribute(spark, sf_dir, whole=False):
-    return exchange.redistribute(exact_knn(spark, sf_dir, whole))
+@query(f"WITH {P} {ranked(EXACT)}")
+def redistribute(spark, sf_dir):
+    return exchange.redistribute(exact_knn(spark, sf_dir))
 
 
 BOUNDS = [0, 100, 250, 251, 400]
@@ -581,6 +628,111 @@ def _folder(spark: SparkSession) -> str:
     return path
 
 
+def _matrix(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """All embeddings in id order on the driver, which writes the files that hold one matrix."""
+    return np.stack([np.asarray(r.embedding, np.float32) for r in dense(spark, sf_dir).orderBy("id").toLocalIterator()])
+
+
+def _long(df: DataFrame) -> DataFrame:
+    """Dense rows as (id, pos, val)."""
+    out = df.select("id", F.posexplode("embedding").alias("pos", "val"))
+    return rounded(out.select("id", F.col("pos").cast("long").alias("pos"), F.col("val").cast("double").alias("val")), "val")
+
+
+LONG = "SELECT vec_id AS id, i - 1 AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS val FROM embeddings, range(1, 65) t(i)"
+BYTES = "SELECT vec_id AS id, i - 1 AS pos, floor((CAST(embedding[i] AS DOUBLE) + 1) * 100) AS val FROM embeddings, range(1, 65) t(i)"
+
+
+def _bytes(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    return np.floor((_matrix(spark, sf_dir).astype(float) + 1) * 100).astype(np.uint8)
+
+
+@query(ENTRIES)
+def read_csr_rows(spark, sf_dir):
+    rows = sparse_emb(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("e"))
+    return _entries(readers.read_csr_rows(rows.select("id", F.col("e.col").alias("c"), F.col("e.val").alias("v")), "id", "c", "v"))
+
+
+@query(f"WITH {S} SELECT row_number() OVER (ORDER BY id) - 1 AS id, CAST(0 AS DOUBLE) AS label FROM (SELECT DISTINCT id FROM s)")
+def svm_ids(spark, sf_dir):
+    path = fresh_path(spark, "svm")
+    writers.write_svm(sparse_emb(spark, sf_dir), path)
+    return readers.svm_ids(spark, path)
+
+
+@query(f"WITH {S} SELECT dense_rank() OVER (ORDER BY id % 2, id) - 1 AS id, CAST(col AS INTEGER) AS col, round(CAST(CAST(val AS FLOAT) AS DOUBLE), 6) AS val FROM s")
+def read_svm_files(spark, sf_dir):
+    """Several files, one after another, are one set."""
+    path, points = fresh_path(spark, "svm"), sparse_emb(spark, sf_dir).withColumn("val", F.col("val").cast("float"))
+    for part in (0, 1):
+        writers.write_svm(points.filter(F.col("id") % 2 == part), f"{path}/{part}")
+    return _entries(readers.read_svm(spark, [f"{path}/0", f"{path}/1"], WIDTH))
+
+
+@query(ENTRIES)
+def read_csr_split(spark, sf_dir):
+    folder = _folder(spark)
+    arrays = writers.csr_arrays(sparse_emb(spark, sf_dir), dense(spark, sf_dir).count())
+    for name, own in zip(("starts", "columns", "values"), arrays):
+        own.tofile(f"{folder}/{name}")
+    return _entries(readers.read_csr_split(spark, *[f"file://{folder}/{n}" for n in ("starts", "columns", "values")]))
+
+
+@query(BYTES)
+def read_idx(spark, sf_dir):
+    path, x = f"{_folder(spark)}/images.idx", _bytes(spark, sf_dir)
+    with open(path, "wb") as f:
+        f.write(bytes([0, 0, 8, 3]) + np.array([len(x), 8, 8], ">i4").tobytes() + x.tobytes())
+    return _long(readers.read_idx(spark, f"file://{path}"))
+
+
+@query(f"{BYTES} WHERE vec_id >= 30 AND vec_id < 90")
+def read_bvecs(spark, sf_dir):
+    """A range of the records, which is the reader's feature."""
+    path, x = f"{_folder(spark)}/points.bvecs", _bytes(spark, sf_dir)
+    np.hstack([np.full((len(x), 1), WIDTH, "<i4").view(np.uint8), x]).tofile(path)
+    return _long(readers.read_bvecs(spark, f"file://{path}", WIDTH, 30, 60))
+
+
+@query(LONG)
+def read_npy(spark, sf_dir):
+    """Two shards in the order given."""
+    folder, x = _folder(spark), _matrix(spark, sf_dir)
+    for name, part in (("b", x[:70]), ("a", x[70:])):
+        np.save(f"{folder}/{name}.npy", part)
+    return _long(readers.read_npy(spark, [f"file://{folder}/{n}.npy" for n in "ba"]))
+
+
+@query(f"{LONG} WHERE vec_id < 90")
+def read_npy_limit(spark, sf_dir):
+    path = f"{_folder(spark)}/points.npy"
+    np.save(path, _matrix(spark, sf_dir))
+    return _long(readers.read_npy(spark, f"file://{path}", limit=90))
+
+
+@query(f"WITH {P} {ranked(EXACT)}")
+def read_truth_npy(spark, sf_dir):
+    folder, truth = _folder(spark), exact_knn(spark, sf_dir).orderBy("query_id", "rank").toPandas()
+    np.save(f"{folder}/ids.npy", truth.neighbor_id.to_numpy().reshape(-1, K))
+    np.save(f"{folder}/dists.npy", truth.dist.to_numpy().reshape(-1, K))
+    return readers.read_truth_npy(spark, f"file://{folder}/ids.npy", f"file://{folder}/dists.npy")
+
+
+@query(f"WITH {P} {ranked(EXACT)}")
+def write_truth(spark, sf_dir):
+    path = fresh_path(spark, "truth")
+    writers.write_truth(exact_knn(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@query(LONG)
+def cached(spark, sf_dir):
+    """Made once, then read."""
+    path = fresh_path(spark, "cached")
+    readers.cached(spark, path, lambda: readers.read_dense(spark, f"{sf_dir}/embeddings.parquet", "vec_id"))
+    return _long(readers.cached(spark, path, lambda: None))
+
+
 def _entries(df: DataFrame) -> DataFrame:
     return df.select("id", "col", F.round(F.col("val").cast("double"), 6).alias("val"))
 
@@ -607,24 +759,87 @@ def read_csr_text(spark, sf_dir):
     return _entries(readers.read_csr_text(spark, f"file://{path}"))
 
 
-@query("SELECT vec_id AS id, i - 1 AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS val FROM embeddings, range(1, 65) t(i)")
+@query(LONG)
 def read_fvecs(spark, sf_dir):
     path = f"{_folder(spark)}/points.fvecs"
     writers.write_fvecs(dense(spark, sf_dir), path)
-    out = readers.read_fvecs(spark, f"file://{path}", WIDTH).select("id", F.posexplode("embedding").alias("pos", "val"))
-    return rounded(out.select("id", F.col("pos").cast("long").alias("pos"), F.col("val").cast("double").alias("val")), "val")
+    return _long(readers.read_fvecs(spark, f"file://{path}", WIDTH))
 
 
-@query(f"WITH {P} {ranked(EXACT)}", ids=True)
-def read_truth(spark, sf_dir, whole=False):
+@query(f"WITH {P} {ranked(EXACT)}")
+def read_truth(spark, sf_dir):
     path = fresh_path(spark, "truth")
-    writers.write_matrix_text(exact_knn(spark, sf_dir, whole), path)
+    writers.write_matrix_text(exact_knn(spark, sf_dir), path)
     return readers.read_truth_text(spark, path)
 
 
 # ---- rows only ----------------------------------------------------------------------------------
 
 
+def _moments(points: DataFrame, width: int, mean: float, var: float) -> DataFrame:
+    """Rows, distinct ids, whether all have the width, and whether mean and variance are near a law's."""
+    x = points.select("id", F.explode("embedding").alias("x"))
+    own = x.agg(F.abs(F.avg("x") - mean).alias("m"), F.abs(F.var_pop("x") - var).alias("v"))
+    return points.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.bool_and(F.size("embedding") == width).alias("wide")).join(own, F.lit(True)).select("n", "ids", "wide", (F.col("m") < 0.05).alias("mean_near"), (F.col("v") < 0.05).alias("var_near"))
+
+
+@query("SELECT CAST(1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS ids, true AS wide, true AS mean_near, true AS var_near")
+def gaussian_law(spark, sf_dir):
+    return _moments(generators.gaussian(spark, 1000, 10), 10, 0.0, 1.0)
+
+
+@query("SELECT CAST(1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS ids, true AS wide, true AS mean_near, true AS var_near")
+def uniform_law(spark, sf_dir):
+    return _moments(generators.uniform(spark, 1000, 10), 10, 0.5, 1 / 12)
+
+
+@query("SELECT CAST(1000 AS BIGINT) AS n, true AS wide, true AS noise_small")
+def spheres_law(spark, sf_dir):
+    """At most ten coordinates of a row are beyond the noise."""
+    points = generators.spheres(spark, 1000, 32)
+    far = F.size(F.filter("embedding", lambda x: (x < 0) | (x > 0.0100001)))
+    return points.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.size("embedding") == 32).alias("wide"), F.bool_and(far <= 10).alias("noise_small"))
+
+
+@query("SELECT CAST(1000 AS BIGINT) AS n, CAST(10 AS BIGINT) AS low, CAST(10 AS BIGINT) AS high, true AS in_width")
+def sparse_fixed_law(spark, sf_dir):
+    rows = generators.sparse_rows(spark, 1000, 500, 10, fixed=True)
+    held = rows.groupBy("id").agg(F.countDistinct("col").alias("c"), F.max("col").alias("top"))
+    return held.agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.bool_and(F.col("top") < 500).alias("in_width"))
+
+
+@query("SELECT true AS avg_near, true AS in_width")
+def sparse_variable_law(spark, sf_dir):
+    rows = generators.sparse_rows(spark, 1000, 500, 10)
+    return rows.agg((F.abs(F.count(F.lit(1)) / 1000 - 10) < 0.5).alias("avg_near"), F.bool_and(F.col("col") < 500).alias("in_width"))
+
+
+@query("SELECT true AS share_near, true AS below")
+def sparse_density_law(spark, sf_dir):
+    rows = generators.sparse_density(spark, 500, 100, 0.05)
+    return rows.agg((F.abs(F.count(F.lit(1)) / 50000 - 0.05) < 0.005).alias("share_near"), F.bool_and(F.col("val") < 0.05).alias("below"))
+
+
+@query("SELECT CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS held, true AS again")
+def sample_rows_law(spark, sf_dir):
+    """Rows of the table, none twice, the same for the same seed."""
+    points = dense(spark, sf_dir)
+    one, two = (exchange.sample_rows(points.repartition(n), 50, seed=3).select("id") for n in (2, 5))
+    held = points.join(one, "id", "left_semi").agg(F.countDistinct("id").alias("held"))
+    same = one.join(two, "id").agg(F.count(F.lit(1)).alias("n"))
+    return same.join(held, F.lit(True)).select("n", "held", (F.col("n") == 50).alias("again"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS val FROM range(8) a(i), range(8) b(j)")
+def directions_orthonormal(spark, sf_dir):
+    """Directions, kept and loaded again, are orthonormal."""
+    path = fresh_path(spark, "directions")
+    save_directions(spark, make_directions(WIDTH, 8, 1), path)
+    d = directions_frame(spark, load_directions(spark, path))
+    a, b = (d.select(F.col("level").alias(n), "col", F.col("weight").alias(w)) for n, w in (("i", "v"), ("j", "w")))
+    return a.join(b, "col").groupBy("i", "j").agg((F.round(F.sum(F.col("v") * F.col("w")), 6) + 0.0).alias("val")).withColumn("val", F.abs("val"))
+
+
 @query()
 def sample_rows(spark, sf_dir):
     return exchange.sample_rows(dense(spark, sf_dir), 50, seed=3).select("id")

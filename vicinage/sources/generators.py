@@ -30,20 +30,24 @@ def uniform(spark: SparkSession, n: int, width: int, seed: int = 10) -> DataFram
 
 
 def spheres(spark: SparkSession, n: int, width: int, clusters: int = 10, intrinsic: int = 10, noise: float = 1e-2, seed: int = 10) -> DataFrame:
-    """Clusters that lie on spheres: each has ``intrinsic`` coordinates of its own, in which a row is a
-    gaussian direction of length 1, three of them shifted, and every coordinate has uniform noise."""
+    """Clusters of n // clusters consecutive rows that lie on spheres: each cluster has ``intrinsic``
+    coordinates of its own, in which a row is a gaussian direction of length 1, a few of them moved by
+    one gaussian shift of the cluster; all other coordinates, and rows left over, are uniform noise."""
     rng = np.random.default_rng(seed)
     own = np.array([rng.choice(width, min(intrinsic, width), replace=False) for _ in range(clusters)])
     shift = np.zeros(own.shape)
-    shift[:, :3] = rng.standard_normal((clusters, min(3, own.shape[1])))
+    for c in range(clusters):
+        shift[c, rng.integers(0, own.shape[1], 3)] = 2 * rng.standard_normal()
+    share = max(1, n // clusters)
 
     def make(first: int, m: int) -> pa.Table:
         g = np.random.default_rng([seed, first])
         x = noise * g.random((m, width))
-        kind = g.integers(0, clusters, m)
-        direction = g.standard_normal((m, own.shape[1]))
+        kind = (np.arange(m) + first) // share
+        inside = np.flatnonzero(kind < clusters)
+        direction = g.standard_normal((len(inside), own.shape[1]))
         direction /= np.linalg.norm(direction, axis=1, keepdims=True)
-        np.add.at(x, (np.arange(m)[:, None], own[kind]), direction + shift[kind])
+        x[inside[:, None], own[kind[inside]]] = direction + shift[kind[inside]]
         return _dense_table(x, first)
 
     return _rows(spark, n, make, DENSE)

@@ -2,26 +2,69 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of sessions that name none, by application.
+_own: dict[str, str] = {}
+_inside: ContextVar[str] = ContextVar("vicinage_scratch", default="")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder of our own, which the session then keeps under the same setting."""
+    """The folder named by ``spark.checkpoint.dir``. Only where that is unset and everything runs on one
+    machine (tests, a laptop) a temporary folder, which is deleted at exit; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="vicinage-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="vicinage-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        root = "file://" + _own[app]
     return root.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Where this application writes, inside the shared folder."""
+    return f"{shared_dir(spark)}/vicinage/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vicinage/{name}-{uuid.uuid4().hex}"
+    return f"{_inside.get() or session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that operators write inside the block are deleted at its end; write what you want to keep
+    to a path from before the block, inside it."""
+    token = _inside.set(fresh_path(spark, "scratch"))
+    try:
+        yield
+    finally:
+        path = _inside.get()
+        _inside.reset(token)
+        remove(spark, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete everything this application has written; results that were not written elsewhere go too."""
+    remove(spark, session_dir(spark))
 
 
 def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
