@@ -24,8 +24,10 @@ from ..storage import materialize
 from .batches import bound_batches, release
 
 CAPACITY = 4096
-#: Buckets that the pieces of one length are ranked in.
-SALTS = 64
+#: Share of a sequence that a fitted pattern fills.
+FILL = 0.95
+#: Buckets that the pieces of one length are ranked in, and pieces of all lengths that add another.
+SALTS, SALT_ROWS = 64, 200_000
 #: Pieces that a task places at least, if there are so many.
 PART_ROWS = 20_000
 #: Chunks kept in a worker's cache of encoded chunks.
@@ -158,21 +160,22 @@ def patterns(lengths: list[int], capacity: int, per_length: int = 4) -> list[tup
 
 
 def nonnegative_fit(patterns_: list[tuple[int, ...]], wanted: dict[int, int], capacity: int, rounds: int = 60) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |Ax - h| + waste by least squares: projected coordinate
-    descent on the sparse pattern matrix, in which each pattern touches at most four lengths."""
+    """Repeat counts x >= 0 that minimise |W(Ax - h)|^2 + waste by least squares, each length weighed by
+    the share of a sequence that it fills: projected coordinate descent on the sparse pattern matrix,
+    in which each pattern touches at most four lengths."""
     x = np.zeros(len(patterns_))
     rest = {n: float(c) for n, c in wanted.items()}
-    uses = [tuple(Counter(p).items()) for p in patterns_]
-    norm = [float(sum(m * m for _, m in u)) for u in uses]
+    uses = [tuple((n, m, m * (n / capacity) ** 2) for n, m in Counter(p).items()) for p in patterns_]
+    norm = [sum(m * w for _, m, w in u) for u in uses]
     waste = [(capacity - sum(p)) / capacity for p in patterns_]
     for _ in range(rounds):
         moved = 0.0
         for j, u in enumerate(uses):
-            step = (sum(m * rest[n] for n, m in u) - waste[j]) / norm[j]
+            step = (sum(w * rest[n] for n, _, w in u) - waste[j]) / norm[j]
             step = max(step, -x[j])
             if step:
                 x[j] += step
-                for n, m in u:
+                for n, m, _ in u:
                     rest[n] -= m * step
                 moved = max(moved, abs(step))
         if moved < 0.25:
@@ -206,28 +209,44 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
 
 
 def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use up a histogram of lengths exactly: the fitted patterns and the
-    best fit of what remains, or, where few lengths fill no sequence well, best fit of everything."""
-    plans = [fitted_plan(histogram, capacity), best_fit(histogram, capacity)]
-    return min(plans, key=lambda plan: sum(times for _, times in plan))
+    """(pattern, repeats) that use up a histogram of lengths exactly: the fitted patterns, then best fit
+    of the pieces that rounding leaves."""
+    left = {int(n): int(c) for n, c in histogram.items() if c > 0}
+    plan = fitted_plan(left, capacity)
+    return plan + best_fit(left, capacity)
 
 
-def fitted_plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns fitted to the histogram, then best fit of the pieces that rounding leaves."""
-    left = {int(n): int(c) for n, c in histogram.items() if c > 0}
+def fitted_plan(left: dict[int, int], capacity: int, fill: float = FILL) -> list[tuple[tuple[int, ...], int]]:
+    """The patterns that fill a sequence to ``fill``, repeated as the fit says; ``left`` loses their pieces.
+
+    Repeats are rounded by largest remainders: whole parts first, then one more of each pattern by
+    falling remainder, as far as the histogram allows."""
     plan: list[tuple[tuple[int, ...], int]] = []
     if capacity in left:
         plan.append(((capacity,), left.pop(capacity)))
-    options = [p for p in patterns(list(left), capacity) if sum(p) >= 0.98 * capacity]
-    if options:
-        fit = nonnegative_fit(options, left, capacity)
-        for j in np.argsort(-fit, kind="stable"):
-            times = min(int(fit[j]), min(left[n] // m for n, m in Counter(options[j]).items()))
-            if times > 0:
-                plan.append((options[j], times))
-                for n in options[j]:
-                    left[n] -= times
-    return plan + best_fit(left, capacity)
+    options = [p for p in patterns(list(left), capacity) if sum(p) >= fill * capacity]
+    if not options:
+        return plan
+    fit = nonnegative_fit(options, left, capacity)
+    uses = [Counter(p) for p in options]
+    repeats = np.zeros(len(options), np.int64)
+
+    def take(j: int, times: int) -> None:
+        times = min(times, *(left.get(n, 0) // m for n, m in uses[j].items()))
+        if times > 0:
+            repeats[j] += times
+            for n, m in uses[j].items():
+                left[n] -= m * times
+
+    for j in np.argsort(-fit, kind="stable"):
+        take(j, int(fit[j]))
+    rest = fit - np.floor(fit)
+    for j in np.argsort(-rest, kind="stable"):
+        if rest[j] > 1e-6:
+            take(j, 1)
+    for n in [n for n, c in left.items() if not c]:
+        del left[n]
+    return plan + [(options[j], int(t)) for j, t in enumerate(repeats) if t]
 
 
 def slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -248,11 +267,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (from pieces(), written) with sequence_id and offset.
 
     The driver sees one count a length (at most ``capacity``) and the plan's places are found by
-    binary search in each task. Ranks within a length come from SALTS buckets and the counts before
-    them. Pieces of equal length are dealt by bucket, doc_id, piece; rows equal in all are alike.
+    binary search in each task. Ranks within a length come from buckets, more for a larger table, and the
+    counts before them, so a length that most pieces have is no hot key, nor are pieces without doc_id.
+    Pieces of equal length are dealt by bucket, doc_id, piece; rows equal in all are alike.
     An empty table gives an empty result."""
     spark = cut.sparkSession
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salts = SALTS + cut.count() // SALT_ROWS
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "lengths", 8)  # a row a length and salt at most
