@@ -41,6 +41,20 @@ def test_language_of_awkward_rows(spark, awkward, empty):
     assert language.identify(empty, model).collect() == []
 
 
+def test_signs_that_are_no_letters(spark):
+    model = language.fit(corpus(spark))
+    texts = ["½ ² ³", "Ⅷ", "① 12 _", "٣ २", "ª", "中", None, ""]
+    found = language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert [r.lang_pred == "und" for r in sorted(found, key=lambda r: r.doc_id)] == [True, True, True, True, False, False, True, True]
+
+
+def test_the_fit_does_not_change_with_repeated_ids(spark):
+    docs = corpus(spark)
+    many = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.col("doc_id") % 7))
+    one, two = (language.fit(many.repartition(n), sample=20) for n in (2, 5))
+    assert one.labels == two.labels and np.array_equal(one.centroids, two.centroids)
+
+
 def test_counts_by_pieces_are_those_of_the_whole(monkeypatch):
     text = "The first, second & THIRD parts été " * 5_000
     whole = language.counts([text, ""])
@@ -79,6 +93,8 @@ def test_severity_of_unlabelled_texts(spark, awkward, empty):
     few = [found[i].severity for i, n in hits.items() if 1 <= n <= 2]
     assert np.mean(many) > np.mean(few) > 0.3
     awkward_found = toxicity.score(awkward, model).collect()
+    plain = {r.severity for r in awkward_found if r.doc_id in (5000, 5001, 5002)}  # null, empty, wordless
+    assert plain == {r.severity for r in toxicity.score(spark.createDataFrame([(1, "zzz")], "doc_id long, text string"), model).collect()} and len(plain) == 1
     assert len(awkward_found) == len(awkward_rows()) and not any(r.is_toxic for r in awkward_found)
     assert toxicity.score(empty, model).collect() == []
 

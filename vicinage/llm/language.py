@@ -9,7 +9,6 @@ texts reach.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +29,6 @@ _STRIDE = 256  # texts in a block
 _BLANK = np.arange(256, dtype=np.uint32)
 _BLANK[: ord("a")] = 32
 _BLANK[ord("z") + 1 : 128] = 32
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def counts(texts: list[str]) -> np.ndarray:
@@ -66,7 +64,7 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, cosine from 0 to 1, rejected) of each text; a text with no letter is `und`."""
-        letters = np.array([_LETTER.search(t) is not None for t in texts], bool)
+        letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)
         if not self.labels:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         cosine = weigh(counts(texts), self.idf) @ self.centroids.T
@@ -128,7 +126,7 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["label", "vector"])
 
     by: dict[str, list[bytes]] = {}
-    for name, vector in picked.mapInArrow(vectors, "label string, vector binary").limit(2 * sample).orderBy("label", "vector").toPandas().itertuples(index=False):
+    for name, vector in picked.mapInArrow(vectors, "label string, vector binary").orderBy(F.xxhash64("vector"), "label").limit(2 * sample).orderBy("label", "vector").toPandas().itertuples(index=False):
         by.setdefault(name, []).append(vector)
     labels, middles, floors = [], [], []
     for name in sorted(by):
