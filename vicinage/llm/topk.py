@@ -153,13 +153,15 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, *, vec_i
 
         found = ranked(rows.mapInArrow(gather, "query_id long, vec_id long, score long"), k)
         cutoffs = dict(found.filter(F.col("rank") == k).select("query_id", "score").toPandas().itertuples(index=False))
-        floor = spark.sparkContext.broadcast(np.array([cutoffs.get(i, -(2**62)) for i in ids.tolist()], np.int64))
+        # A query without a cutoff has fewer than k candidates, which are all its answer.
+        bounded = np.array([i in cutoffs for i in ids.tolist()], bool)
+        floor = spark.sparkContext.broadcast((np.array([cutoffs.get(i, -(2**63)) for i in ids.tolist()], np.int64), bounded))
 
         def resolve(batches, floor=floor):  # phases 2 and 3
             best = Best(len(sent.value[0]), k)
             for first, asked_ids, own, partial in scored(batches):
-                low = floor.value[first : first + len(asked_ids), None]
-                collected = (partial * lists >= low).any(0)
+                low, bound = (x[first : first + len(asked_ids), None] for x in floor.value)
+                collected = (partial * lists >= low).any(0) | ~bound
                 for i in np.flatnonzero(collected.any(1)):
                     entries = np.flatnonzero(collected[i])
                     total = _saturate(partial[:, i, entries].sum(0))
