@@ -3,9 +3,11 @@
 Each tree hashes a vector to a long string of bits, the sides of random hyperplanes, and keeps the
 strings of a shard of rows in a sorted array. A query descends every tree to its longest matching
 prefix; the trees then ascend together, one bit shorter at a time, until the rows under the matched
-prefixes are enough candidates, which are scored exactly. Inner products become angles by one more
-dimension that gives every row of a shard the same length. Shards are bounded, so the trees are too;
-every shard answers every query and the best answers are merged.
+prefixes are enough candidates, which are scored exactly. How many are enough is measured for each
+shard: the fewest at which a sample of its queries gets back the wanted share of their true neighbours
+in the shard. Inner products become angles by one more dimension that gives every row of a shard the
+same length. Shards are bounded, so the trees are too; every shard answers every query and the best
+answers are merged.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from .topk import align, matrix, ranked, vectors, waves
 TREES, BITS, SHARD = 64, 24, 1 << 15
 #: Queries that a forest answers once it is built; more go out in further rounds.
 QUERIES = 1 << 14
-#: Matches, counted in every tree, at which the ascent stops: this share of the shard and this many
-#: more. Vectors without structure need such a share; see the README for recall against it.
-SHARE, MORE = 0.8, 2000
+#: Recall that the sample must reach, queries of the sample (bounded, whatever the number of queries), and
+#: matches a wanted neighbour, counted in all trees, at which the ascent stops at the earliest.
+RECALL, SAMPLE, FEWEST = 0.97, 64, 50
 
 
 class Forest:
@@ -75,20 +77,46 @@ class Forest:
             seen[rows] = False
             yield rows
 
+    def enough(self, query_ids: np.ndarray, q: np.ndarray, k: int, recall: float = RECALL, sample: int = SAMPLE) -> int:
+        """Matches at which the ascent may stop: doubled until queries spread over all of them find
+        ``recall`` of their k nearest rows of the shard."""
+        picked = np.unique(np.linspace(0, len(q) - 1, min(sample, len(q))).astype(int))
+        score = self.x @ q[picked].T
+        score[self.ids[:, None] == query_ids[picked][None, :]] = -np.inf
+        wanted = min(k, len(self.ids))
+        true = np.argpartition(-score, wanted - 1, axis=0)[:wanted].T
+        matches = FEWEST * k
+        while matches < self.trees * len(self.ids):
+            found = [np.isin(t, rows, assume_unique=True).mean() for t, rows in zip(true, self.candidates(q[picked], matches))]
+            if np.mean(found) >= recall:
+                break
+            matches *= 2
+        return matches
+
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, enough: int):
         """(query_id, vec_id, score) arrays of each query's k best candidates other than itself."""
+        sizes = np.sqrt(np.einsum("ij,ij->i", self.x, self.x))
         for query, vector, rows in zip(query_ids, q, self.candidates(q, enough)):
             rows = rows[self.ids[rows] != query]
-            score = self.x[rows] @ vector
-            if len(rows) > k:  # all that tie with the k-th stay for the order by id
-                limit = np.partition(score, len(score) - k)[len(score) - k]
-                rows, score = rows[score >= limit], score[score >= limit]
-                best = np.lexsort((self.ids[rows], -score))[:k]
-                rows, score = rows[best], score[best]
-            yield query, self.ids[rows], score
+            if len(rows) > k:  # a product of matrices rounds equal rows differently; what it may hide stays
+                rough = self.x[rows] @ vector
+                limit = np.partition(rough, len(rough) - k)[len(rough) - k]
+                rows = rows[rough >= limit - 1e-9 * (np.linalg.norm(vector) * sizes[rows] + abs(limit))]
+            score = scores(self.x[rows], vector)
+            best = np.lexsort((self.ids[rows], -score))[:k]
+            yield query, self.ids[rows[best]], score[best]
+
+
+def scores(x: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Inner products, each summed in the order of the components, so equal rows get equal scores
+    wherever they are."""
+    out = np.zeros(len(x))
+    for j, v in enumerate(vector):
+        out += x[:, j] * v
+    return out
 
 
-def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, *, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = TREES, bits: int = BITS, share: float = SHARE, more: int = MORE) -> DataFrame:
+def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, *, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = TREES, bits: int = BITS, recall: float = RECALL) -> DataFrame:
     """The k nearest rows found for every query by inner product: (query_id, rank, vec_id, score).
 
     Every usable row is indexed. Vectors that are null, zero or hold nulls or non-finite components,
@@ -110,8 +138,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, *, vec_id: s
                 own = np.concatenate([b.column("vec_id").to_numpy() for b in held])
                 x, asked = align(matrix(pa.chunked_array([b.column("embedding") for b in held])), q)
                 forest = Forest(own, x, trees, bits)
-                enough = int(share * len(own)) + more
-                found = list(forest.search(query_ids, asked, k, enough))
+                found = list(forest.search(query_ids, asked, k, forest.enough(query_ids, asked, k, recall)))
                 sizes = [len(i) for _, i, _ in found]
                 cells = [np.repeat(query_ids, sizes), np.concatenate([i for _, i, _ in found]), np.concatenate([s for _, _, s in found])]
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["query_id", "vec_id", "score"])
