@@ -208,12 +208,17 @@ def write_warc(pages: DataFrame, folder: str, *, page_id: str = "page_id", html:
     return materialize(plan.mapInArrow(write, INDEX), "warc-index")
 
 
+#: Tasks that read bundles, at most; each reads its bundles one after another.
+READERS = 20_000
+
+
 def read_warc(index: DataFrame) -> DataFrame:
     """Every record of the bundles that ``index`` names, read through their seek tables.
 
     (page_id, url, record_type, refers_to, payload_bytes, payload_digest); the last two are those of
     the full payload for revisits too. A damaged payload raises an error."""
-    bundles = index.select("bundle").distinct()
+    bundles = materialize(index.select("bundle").distinct(), "bundles")
+    bundles = bundles.repartition(max(1, min(bundles.count(), READERS)))  # a few names would be one task
 
     def read(batches):
         for batch in batches:
