@@ -68,6 +68,44 @@ def test_coreference_across_formats():
     assert S.replace_value(KEY, "email", "Bo@X.example.com").lower() == S.replace_value(KEY, "email", "bo@x.example.com")
 
 
+def test_names_with_and_without_titles(spark):
+    rows = [(1, "Dr Smith met Mr Smith. Mrs Anna Schmidt said so; later Anna Schmidt left, then Schmidt. SCHMIDT schmidtlike"),
+            (2, "Frau Schmidt and Dr. Anna Schmidt of Smith Street"), (3, "Anna Schmidt without a title"), (4, "Mr Ann Lee, Ms Ann Day")]
+    got = {r.doc_id: r for r in S.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    one = [e.surrogate for e in got[1].entities]
+    assert one[0] == one[1] and one[2] == one[3] and one[4] == one[2].split()[1] and len(one) == 5
+    assert got[1].text.endswith("SCHMIDT schmidtlike") and one[2].split()[0].endswith("a")
+    two = [e.surrogate for e in got[2].entities]
+    assert two == [one[4], one[2]] and got[2].text.endswith("of Smith Street")
+    assert got[3].text == rows[2][1] and got[3].entities == []
+    four = [e.surrogate.split()[0] for e in got[4].entities]
+    assert four[0] == four[1] and four[0].endswith("l")  # of both genders
+
+
+def test_short_ipv6():
+    text = "hosts 2001:db8::1, fe80::1ff:fe23:4567:890a and 2001:db8:0:0:0:0:0:1; std::vector, a::b, 12::30, 10:30:00 2001:99:1"
+    assert kinds(text) == [("ipv6", "2001:db8::1"), ("ipv6", "fe80::1ff:fe23:4567:890a"), ("ipv6", "2001:db8:0:0:0:0:0:1")]
+    import ipaddress
+
+    short, _, full = [S.replace_value(KEY, k, v) for k, v in kinds(text)]
+    assert ipaddress.ip_address(short) == ipaddress.ip_address(full) != ipaddress.ip_address("2001:db8::1") and short.count("::") == 1
+    some = {f"2001:db8::{n:x}" for n in range(1, 400)}
+    assert len({S.replace_value(KEY, "ipv6", v) for v in some}) == len(some)
+
+
+def test_entities_in_awkward_rows(spark):
+    """Repeated rows, rows without an id, very long texts and columns that clash."""
+    entity = "Write to Mr. John Smith, bo.bt@mail.example.com or 988-555-2485."
+    long = "word " * 60_000 + entity
+    rows = [(1, entity, "x", "y"), (1, entity, "x", "y"), (None, entity, None, None), (None, entity + " ", None, None), (2, long, "a", "b"), (3, "", "a", "b"), (4, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, entities string, name string")
+    got = S.pseudonymize(frame, KEY, keep=("name",)).collect()
+    assert len(got) == 7
+    kinds_of = {len(r.entities) for r in got if r.text}
+    assert kinds_of == {3} and len({tuple(e.surrogate for e in r.entities) for r in got if r.text}) == 1
+    assert all("Smith" not in (r.text or "") and (r.text is None) == (r.doc_id == 4) for r in got)
+
+
 def test_permutation_is_one():
     for size in (1, 2, 3, 10, 97, 1000):
         assert sorted(S.permute(KEY, "t", n, size) for n in range(size)) == list(range(size))

@@ -3,13 +3,16 @@
 Numbers, addresses and secrets are replaced by a keyed permutation of all strings of their own format
 (a Feistel network on the positions that may vary), so the same entity gets the same surrogate in
 every document, and two entities never share one: a permutation cannot collide. Names have no such
-format; they get names of the same gender and script, made from syllables by a keyed hash, and a
-table of all distinct names of the corpus is checked for collisions and redrawn until there are none.
+format; each of their words gets a word of the same gender and script, made from syllables by a keyed
+hash, and a table of all distinct words of the corpus' names is checked for collisions and redrawn until
+there are none. A word keeps its surrogate whatever title, first name or document it stands with, and
+where a document names somebody with a title, the words of that name are replaced without it too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from typing import NamedTuple
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 from .batches import bound_batches, release
 
-#: Distinct names up to which the checked table is broadcast; it is joined beyond.
+#: Distinct words of names up to which the checked table is broadcast; it is joined beyond.
 BROADCAST_NAMES = 200_000
 
 # Titles by gender, and syllables by script.
@@ -43,7 +46,7 @@ _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<key>[A-Z0-9]{16})(?![A-Za-z
 _TOKEN_STARTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "sk-", "xoxb-", "xoxp-", "xoxa-", "AIza", "eyJ")
 _TOKEN = re.compile(r"(?<![\w-])(?:" + "|".join(_TOKEN_STARTS) + r")(?P<key>[A-Za-z0-9_.-]{16,}[A-Za-z0-9_-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-_IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
+_IPV6 = re.compile(r"(?<![\w:])[0-9A-Fa-f]{4}(?::{1,2}[0-9A-Fa-f]{1,4}){1,7}(?:::)?(?![\w:])")
 _LABEL = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}$")
 _SECRET = re.compile(r"\s{0,3}[\"']?(?P<secret>[A-Za-z0-9_+/.-]{6,})")
 _NAME = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")(\.? )((?:[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[-'][^\W\d_]+)?)(?: (?:[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[-'][^\W\d_]+)?))?)")
@@ -62,6 +65,30 @@ def _mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1
 
 
+def _ipv6(value: str) -> bool:
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return True
+
+
+def _mentions(text: str, found: list[Entity]) -> list[Entity]:
+    """Words of the names in ``found`` where they stand without a title, spelt alike; a Latin word of
+    one or two letters may be something else and stays."""
+    words = {w for e in found if e.kind.startswith("name:") for w in e.value.split(" ") if len(w) > 2 or not w.isascii()}
+    if not words:
+        return []
+    one = "(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?!\w)"
+    taken, out, k = sorted((e.start, e.end) for e in found), [], 0
+    for m in re.finditer(rf"(?<!\w){one}(?: {one})?", text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or taken[k][0] >= m.end():
+            out.append(Entity(m.start(), m.end(), "name:u", m[0]))
+    return out
+
+
 def detect(text: str) -> list[Entity]:
     """Entities of a whole text in order, none overlapping; of two that overlap the longer, and what
     the other holds beyond it as a secret. A token is the same entity with a label and without."""
@@ -85,8 +112,8 @@ def detect(text: str) -> list[Entity]:
     found += [Entity(m.start("key"), m.end("key"), "key", m["key"]) for m in keys]
     whole = {m.span() for m in keys}
     found += [Entity(m.start(), m.end(), "iban", m[0]) for m in _IBAN.finditer(text) if _mod97(m[0])]
-    if text.count(":") > 6:
-        found += [Entity(m.start(), m.end(), "ipv6", m[0]) for m in _IPV6.finditer(text)]
+    if "::" in text or text.count(":") > 6:
+        found += [Entity(m.start(), m.end(), "ipv6", m[0]) for m in _IPV6.finditer(text) if _ipv6(m[0])]
     for mark in "=:":
         at = text.find(mark)
         while at >= 0:
@@ -106,7 +133,8 @@ def detect(text: str) -> list[Entity]:
                 out += [last, Entity(last.end, e.end, "secret", text[last.end : e.end])]
             else:
                 out += [Entity(last.start, e.start, "secret", text[last.start : e.start]), e]
-    return out
+    mentions = _mentions(text, out)
+    return sorted(out + mentions) if mentions else out
 
 
 def permute(key: bytes, tweak: str, number: int, size: int) -> int:
@@ -184,6 +212,34 @@ def _ip_class(n: int) -> int:
     return -1
 
 
+def _replace_ipv6(key: bytes, value: str) -> str:
+    """Groups of zeros stay, the others become groups that are not zero, written as the value is."""
+    groups = [int(g, 16) for g in ipaddress.IPv6Address(value).exploded.split(":")]
+    own = [i for i, g in enumerate(groups) if g]
+    tweak, number = "ipv6|" + ",".join(map(str, own)), 0
+    for i in own:
+        number = number << 16 | groups[i]
+    while own:
+        number = permute(key, tweak, number, 1 << 16 * len(own))
+        new = [number >> 16 * k & 0xFFFF for k in range(len(own) - 1, -1, -1)]
+        if all(new):
+            for i, g in zip(own, new):
+                groups[i] = g
+            break
+    written = value.split(":")
+    short = "::" in value
+    if short:  # the same places are left out
+        head, _, tail = value.partition("::")
+        left, right = len(head.split(":")) if head else 0, len(tail.split(":")) if tail else 0
+        places = [*range(left), *range(8 - right, 8)]
+        written = [*(head.split(":") if head else []), *(tail.split(":") if tail else [])]
+    else:
+        places = list(range(8))
+    wide = all(len(g) == 4 for g in written)
+    cells = [f"{groups[i]:04x}" if wide else f"{groups[i]:x}" for i in places]
+    return ":".join(cells[:left]) + "::" + ":".join(cells[left:]) if short else ":".join(cells)
+
+
 def replace_value(key: bytes, kind: str, value: str) -> str:
     """The surrogate of an entity with a format (all kinds but names)."""
     if kind == "email":
@@ -213,7 +269,7 @@ def replace_value(key: bytes, kind: str, value: str) -> str:
         rest = iter(f"{raw[:2]}{check:02d}{body}")
         return "".join(c if c == " " else next(rest) for c in value)
     if kind == "ipv6":
-        return permute_string(key, "ipv6", value.lower(), hexadecimal=True)
+        return _replace_ipv6(key, value)
     plain = len(value) >= 12 and all(c in "0123456789abcdef" for c in value)
     return permute_string(key, kind + ("|hex" if plain else ""), value, hexadecimal=plain)
 
@@ -243,8 +299,8 @@ def make_name(key: bytes, gender: str, name: str, attempt: int) -> str:
 
 
 def checked_names(names: DataFrame, key: bytes) -> DataFrame:
-    """(name, gender, surrogate) for a table of distinct (name, gender): surrogates are drawn again
-    until no two names share one and none is itself a name of the table."""
+    """(name, gender, surrogate) for a table of words with one gender each: surrogates are drawn again
+    until no two words share one and none is itself a name of the table."""
     def draw(attempt: int):
         def drawn(batches):
             for batch in batches:
@@ -269,12 +325,13 @@ def checked_names(names: DataFrame, key: bytes) -> DataFrame:
         attempt += 1
 
 
-def rewrite(text: str, key: bytes, names: dict[tuple[str, str], str]) -> tuple[str, list[Entity]]:
-    """The text with surrogates, and its entities (spans in the text as it was, their surrogates)."""
+def rewrite(text: str, key: bytes, names: dict[str, str]) -> tuple[str, list[Entity]]:
+    """The text with surrogates, and its entities (spans in the text as it was, their surrogates);
+    ``names`` has the surrogate of every word of its names."""
     parts, spans, at = [], [], 0
     for e in detect(text):
         if e.kind.startswith("name:"):
-            new = names[canonical_name(e.value), e.kind[5:]]
+            new = " ".join(names[canonical_name(w)].upper() if len(w) > 1 and w.isupper() else names[canonical_name(w)] for w in e.value.split(" "))
         else:
             new = replace_value(key, e.kind, e.value)
         parts += [text[at : e.start], new]
@@ -297,29 +354,40 @@ def pseudonymize(documents: DataFrame, key: bytes, *, doc_id: str = "doc_id", te
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *[F.col(k) for k in keep])
 
     def names_in(batches):
+        """A row a word of a document's names; whether a title says that it is a man's or a woman's
+        (of a name's last of several words only in Cyrillic, where it shows)."""
         for batch in batches:
-            ids, names, genders = [], [], []
+            ids, words, men, women = [], [], [], []
             for ident, value in zip(batch.column("id").to_pylist(), batch.column("_text").to_pylist()):
                 if value and _NAME.search(value):
-                    for e in {(canonical_name(e.value), e.kind[5:]) for e in detect(value) if e.kind.startswith("name:")}:
+                    own = set()
+                    for e in detect(value):
+                        if e.kind.startswith("name:"):
+                            for k, word in enumerate(e.value.split(" ")):
+                                gender = e.kind[5:] if k == 0 or script_of(word) == "cyrillic" else "n"
+                                own.add((canonical_name(word), gender))
+                    for word, gender in own:
                         ids.append(ident)
-                        names.append(e[0])
-                        genders.append(e[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names, pa.string()), pa.array(genders, pa.string())], ["id", "name", "gender"])
+                        words.append(word)
+                        men.append(gender == "m")
+                        women.append(gender == "f")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words, pa.string()), pa.array(men, pa.bool_()), pa.array(women, pa.bool_())], ["id", "name", "man", "woman"])
 
     ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5("_text")))
-    named = materialize(rows.select(ident.alias("id"), "_text").mapInArrow(names_in, "id string, name string, gender string"), "named")
-    distinct = materialize(named.select("name", "gender").distinct(), "names")
+    named = materialize(rows.select(ident.alias("id"), "_text").mapInArrow(names_in, "id string, name string, man boolean, woman boolean"), "named")
+    words = named.groupBy("name").agg(F.bool_or("man").alias("man"), F.bool_or("woman").alias("woman"))
+    gender = F.when(F.col("man") & ~F.col("woman"), "m").when(F.col("woman") & ~F.col("man"), "f").otherwise("n")
+    distinct = materialize(words.select("name", gender.alias("gender")), "names")
     count = distinct.count()
     table, sent = None, None
     if count:
         table = checked_names(distinct, key)
     if count <= BROADCAST_NAMES:
         pairs = table.toArrow().to_pylist() if table is not None else []
-        sent = spark.sparkContext.broadcast({(r["name"], r["gender"]): r["surrogate"] for r in pairs})
-        source = rows.withColumn("_names", F.lit(None).cast("array<struct<name: string, gender: string, surrogate: string>>"))
+        sent = spark.sparkContext.broadcast({r["name"]: r["surrogate"] for r in pairs})
+        source = rows.withColumn("_names", F.lit(None).cast("array<struct<name: string, surrogate: string>>"))
     else:
-        own = named.distinct().join(table, ["name", "gender"]).groupBy("id").agg(F.collect_list(F.struct("name", "gender", "surrogate")).alias("_names"))
+        own = named.select("id", "name").distinct().join(table.select("name", "surrogate"), "name").groupBy("id").agg(F.collect_list(F.struct("name", "surrogate")).alias("_names"))
         source = rows.withColumn("_id", ident).join(own.withColumnRenamed("id", "_of"), F.col("_id") == F.col("_of"), "left").drop("_id", "_of")
     columns = ["doc_id", *keep]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
@@ -331,7 +399,7 @@ def pseudonymize(documents: DataFrame, key: bytes, *, doc_id: str = "doc_id", te
                 part = batch.slice(at, 1024)
                 texts, spans = [], []
                 for value, own in zip(part.column("_text").to_pylist(), part.column("_names").to_pylist()):
-                    names = sent.value if sent is not None else {(r["name"], r["gender"]): r["surrogate"] for r in own or ()}
+                    names = sent.value if sent is not None else {r["name"]: r["surrogate"] for r in own or ()}
                     new, found = (None, []) if value is None else rewrite(value, key, names)
                     texts.append(new)
                     spans.append([{"kind": e.kind.split(":")[0], "start": e.start, "end": e.end, "surrogate": e.value} for e in found])
