@@ -60,6 +60,37 @@ def test_every_notice_of_a_text_is_found(spark):
     assert got[2] == {"mit-text"}
 
 
+def aligned(text, index, templates=licenses.TEMPLATES):
+    """Labels by trying every place of every template in the text."""
+    w, out = words(text), set()
+    joined = " " + " ".join(w) + " "
+    for k, (label, _, phrase) in enumerate(templates):
+        own = [(word, at, weight) for word, t, at, weight in index if t == k]
+        whole, rare = sum(x for *_, x in own), len({word for word, *_ in own})
+        for shift in range(-40, len(w)):
+            hits = [x for word, at, x in own if 0 <= shift + at < len(w) and w[shift + at] == word]
+            if sum(hits) >= licenses.COVER * whole - 1e-9 and len(hits) >= min(2, rare) and f" {phrase} " in joined:
+                out.add(label)
+    return out
+
+
+def test_labels_match_brute_force_for_all_pairs(spark):
+    """Files of one notice, of every two, and of all; each notice is found whatever stands beside it."""
+    notices = [(label, notice) for label, notice, _ in licenses.TEMPLATES]
+    texts = [n for _, n in notices] + [f"{a} and some prose, {b}." for i, (_, a) in enumerate(notices) for _, b in notices[:i]] + [". ".join(n for _, n in notices)]
+    made = [{label} for label, _ in notices] + [{a, b} for i, (a, _) in enumerate(notices) for b, _ in notices[:i]] + [{label for label, _ in notices}]
+    seen = {}
+    for t in texts:
+        for word in set(words(t)):
+            seen[word] = seen.get(word, 0) + 1
+    index = licenses.rare_index(seen, len(texts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = {label for _, label in licenses.BASE}
+    for r in licenses.scan_licenses(rows).collect():
+        found = set(r.labels.split(",")) - set(r.base_labels.split(","))
+        assert found - base == aligned(texts[r.doc_id], index) and made[r.doc_id] <= found, texts[r.doc_id]
+
+
 def test_empty_table(empty):
     assert licenses.scan_licenses(empty).collect() == []
 
