@@ -10,11 +10,14 @@ from vicinage.llm import mixing
 from .conftest import awkward_rows
 
 
-def brute(rows, weights=(3.0, 1.0, 2.0), seed=20):
-    """(doc_id, size, source_size, target, taken) of (doc_id, text, source) rows, step by step."""
+def brute(rows, weights=(3.0, 1.0, 2.0), seed=20, ident=False):
+    """(doc_id, size, source_size, target, taken) of (doc_id, text, source) rows, step by step; with
+    ``ident`` a row without an id has the key of its text's hash."""
+    name = {i: hashlib.md5(t.encode()).hexdigest() if ident and d is None and t is not None else "" if d is None else str(d) for i, (d, t, _) in enumerate(rows)}
     rows = [(d, len(re.findall("[^\x20\x09-\x0d]+", t or "")), s) for d, t, s in rows]
+    rows = [(*r, name[i]) for i, r in enumerate(rows)]
     sizes = defaultdict(int)
-    for _, n, s in rows:
+    for _, n, s, _ in rows:
         sizes[s] += n
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
@@ -32,9 +35,9 @@ def brute(rows, weights=(3.0, 1.0, 2.0), seed=20):
     out = []
     for s in order:
         budget = round(target[s])
-        own = sorted((r for r in rows if r[2] == s), key=lambda r: (hashlib.md5(f"{seed}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is None, r[0] or 0, r[1]))
+        own = sorted((r for r in rows if r[2] == s), key=lambda r: (hashlib.md5(f"{seed}:{r[3]}".encode()).hexdigest(), r[0] is None, r[0] or 0, r[1]))
         epochs, rest = divmod(budget, sizes[s]) if sizes[s] else (0, 0)
-        for d, n, _ in own:
+        for d, n, *_ in own:
             cut = max(0, min(n, rest))
             rest -= cut
             out.append((d, n, sizes[s], target[s], epochs * n + cut))
@@ -78,3 +81,13 @@ def test_reruns_agree(awkward):
     first = mixing.mix_sources(awkward, size).select("doc_id", "taken").collect()
     again = mixing.mix_sources(awkward.repartition(3), size).select("doc_id", "taken").collect()
     assert sorted(first, key=str) == sorted(again, key=str)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    """They are as many keys as texts, so no range of a source holds them all."""
+    rows = [(None, f"text {i} " + "w " * (i % 5), "a") for i in range(400)] + [(i, "w w w", "b") for i in range(50)] + [(None, None, "a"), (None, "text 1", "a"), (None, "text 1", "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix_sources(frame, mixing.word_count(F.col("text")), ident=F.md5("text")).select("doc_id", "size", "source_size", "target", "taken")
+    same(found.collect(), brute(rows, ident=True))
+    again = mixing.mix_sources(frame.repartition(7), mixing.word_count(F.col("text")), ident=F.md5("text")).select("doc_id", "size", "source_size", "target", "taken")
+    assert sorted(map(str, again.collect())) == sorted(map(str, found.collect()))

@@ -69,7 +69,7 @@ def test_mixing_stage_takes_the_words(spark, docs, sf_dir):
     for r in got:
         words[r.doc_id] = words.get(r.doc_id, 0) + len(re.findall("[^\x20\x09-\x0d]+", r.text))
     want = {}
-    for doc, _, _, _, taken in mixed([(r.doc_id, r.text, r.source) for r in docs.collect()]):
+    for doc, _, _, _, taken in mixed([(r.doc_id, r.text, r.source) for r in docs.collect()], ident=True):
         if taken:
             want[doc] = want.get(doc, 0) + taken
     assert words == want

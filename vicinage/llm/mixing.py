@@ -52,17 +52,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
     return levelled.select("source", "source_size", F.least(target, F.col("full")).alias("target"))
 
 
-def mix_sources(documents: DataFrame, size: Column, *, doc_id: str = "doc_id", source: str = "source", seed: int = 20, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, ceiling: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(documents: DataFrame, size: Column, *, doc_id: str = "doc_id", source: str = "source", seed: int = 20, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, ceiling: float = 2.0, keep: tuple[str, ...] = (), ident: Column | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, cut) for every row of ``documents``.
 
     taken: the words the mix takes of the row, repeats counted; ``taken div size`` whole copies and,
     at a source's cut, the first ``cut`` words once more. The taken words of a source are its
     target rounded to whole words. Null text or no words: size 0, taken 0. Null sources form one
-    source, a null doc_id has a key like any other, and repeated rows count once each. An empty
+    source, a null doc_id has the key of ``ident`` (a string, such as a hash of the text, which spreads
+    such rows over the ranges; else all have one key), and repeated rows count once each. An empty
     table gives no rows. Columns of other names are ignored unless listed in ``keep``.
-    Order: md5 of seed and doc_id, then doc_id and size; rows equal in all of it are alike."""
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), *[F.col(k) for k in keep])
-    rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    Order: md5 of seed and doc_id or ident, then doc_id and size; rows equal in all of it are alike."""
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), (F.lit(None).cast("string") if ident is None else ident).alias("_ident"), *[F.col(k) for k in keep])
+    rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), "_ident", F.lit(""))))).drop("_ident")
     rows = rows.withColumn("range", F.substring("key", 1, 3))
     totals = rows.select("source", "range", "size")
     totals = totals.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -84,14 +85,18 @@ def mix_sources(documents: DataFrame, size: Column, *, doc_id: str = "doc_id", s
     return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).alias("taken"), (cut % F.greatest(F.col("size"), F.lit(1))).alias("cut"), *keep)
 
 
+def _ident(doc_id: str, text: str) -> Column:
+    return F.when(F.col(doc_id).isNull(), F.md5(F.col(text)))
+
+
 def mixed_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20) -> DataFrame:
     """The rows of the mix with all columns of ``documents``: a row for every whole copy, and for the
     row at its source's cut one more whose text ends there. A column n_chars, if any, is set to the
     length of a cut text. Null and empty texts have no words and are not in the mix; other columns,
     whatever their names, come along."""
     columns = documents.columns
-    packed = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("_size"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    mixed = mix_sources(packed, F.col("_size"), seed=seed, keep=("_row",))
+    packed = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("_size"), _ident(doc_id, text).alias("_text_hash"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    mixed = mix_sources(packed, F.col("_size"), seed=seed, keep=("_row",), ident=F.col("_text_hash"))
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(False), whole), F.array_repeat(F.lit(True), F.when(F.col("cut") > 0, 1).otherwise(0)))
     rows = mixed.select("_row", "cut", F.explode(copies).alias("_cut"))
@@ -106,14 +111,14 @@ def mixed_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    return mix_sources(sized, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+    sized = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), _ident("doc_id", "text").alias("ident")), "sizes")
+    return mix_sources(sized, F.col("size"), ident=F.col("ident")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('20:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')) AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
