@@ -55,6 +55,17 @@ def test_the_fit_does_not_change_with_repeated_ids(spark):
     assert one.labels == two.labels and np.array_equal(one.centroids, two.centroids)
 
 
+def test_prose_of_an_unlearned_language_is_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.fit(docs)
+    rng = random.Random(0)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    assert model.predict([finnish, noise])[2].tolist() == [True, True]
+    kept = language.identify(docs, model, keep=("lang",)).filter("lang IS NOT NULL")
+    assert kept.filter("rejected").count() == 0 and kept.filter("lang <> lang_pred").count() <= 0.05 * kept.count()
+
+
 def test_counts_by_pieces_are_those_of_the_whole(monkeypatch):
     text = "The first, second & THIRD parts été " * 5_000
     whole = language.counts([text, ""])

@@ -4,11 +4,12 @@ A text's vector holds the square-root counts of its hashed byte bigrams and trig
 anything but letters as one blank) times their inverse document frequency, at unit length. Each
 language has several centroids, clustered on a bounded sample; a text takes the language of the
 centroid of largest cosine and is rejected when that cosine is far below what the language's own
-texts reach.
+texts reach, short ones and long ones by themselves.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,9 @@ from .sampling import smallest_hashes
 FEATURES, PIECE = 4096, 1 << 20
 #: Documents of the fitting sample in all, and centroids of a language.
 SAMPLE, CENTROIDS = 4096, 4
-#: A text is rejected below this share of the smallest cosine in its language's sample.
-REJECT = 0.25
+#: A text is rejected below this share of the smallest cosine in its language's sample, one for short
+#: texts, whose few n-grams may be rare ones, and one for texts of LONG letters or more.
+REJECT, LONG = (0.25, 0.5), 100
 _STRIDE = 256  # texts in a block
 _BLANK = np.arange(256, dtype=np.uint32)
 _BLANK[: ord("a")] = 32
@@ -46,6 +48,11 @@ def counts(texts: list[str]) -> np.ndarray:
     return out
 
 
+def letters_of(text: str) -> int:
+    """Letters of a text, counted up to LONG."""
+    return sum(1 for _ in itertools.islice(filter(str.isalpha, text), LONG))
+
+
 def weigh(block: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF vectors of a block of counts; an empty text stays 0."""
     x = np.sqrt(block) * idf
@@ -55,7 +62,8 @@ def weigh(block: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """idf, centroids (a row each), the language of each centroid, the cosine below which each rejects."""
+    """idf, centroids (a row each), the language of each centroid, the cosines below which each rejects
+    short and long texts."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -64,14 +72,15 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, cosine from 0 to 1, rejected) of each text; a text with no letter is `und`."""
-        letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)
+        size = np.array([letters_of(t) for t in texts], int)
+        letters, long = size > 0, (size >= LONG).astype(int)
         if not self.labels:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         cosine = weigh(counts(texts), self.idf) @ self.centroids.T
         best = cosine.argmax(1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1).astype(float) * letters
         names = [self.labels[k] if ok else "und" for k, ok in zip(best, letters)]
-        return names, score, ~letters | (score < self.floors[best])
+        return names, score, ~letters | (score < self.floors[best, long])
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -122,21 +131,23 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
         for batch in batches:
             for at in range(0, batch.num_rows, _STRIDE):
                 part = batch.slice(at, _STRIDE)
-                x = weigh(counts(_texts(part.column(1))), idf).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["label", "vector"])
+                own = _texts(part.column(1))
+                x = weigh(counts(own), idf).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([letters_of(t) >= LONG for t in own], pa.bool_())], ["label", "vector", "long"])
 
-    by: dict[str, list[bytes]] = {}
-    for name, vector in picked.mapInArrow(vectors, "label string, vector binary").orderBy(F.xxhash64("vector"), "label").limit(2 * sample).orderBy("label", "vector").toPandas().itertuples(index=False):
-        by.setdefault(name, []).append(vector)
+    by: dict[str, list[tuple[bytes, bool]]] = {}
+    for name, vector, long in picked.mapInArrow(vectors, "label string, vector binary, long boolean").orderBy(F.xxhash64("vector"), "label").limit(2 * sample).orderBy("label", "vector").toPandas().itertuples(index=False):
+        by.setdefault(name, []).append((vector, long))
     labels, middles, floors = [], [], []
     for name in sorted(by):
-        x = np.stack([np.frombuffer(v, np.float16) for v in by[name]]).astype(np.float32)
+        x = np.stack([np.frombuffer(v, np.float16) for v, _ in by[name]]).astype(np.float32)
         c = cluster(x, centroids)
-        lowest = float((x @ c.T).max(1).min())
+        reached, long = (x @ c.T).max(1), np.array([l for _, l in by[name]], bool)
+        lowest = [share * float(reached[own].min(initial=reached.max())) for share, own in zip(REJECT, (~long, long))]
         labels += [name] * len(c)
         middles.append(c)
-        floors += [REJECT * lowest] * len(c)
-    return Model(idf, np.concatenate(middles) if middles else np.zeros((0, FEATURES), np.float32), labels, np.array(floors))
+        floors += [lowest] * len(c)
+    return Model(idf, np.concatenate(middles) if middles else np.zeros((0, FEATURES), np.float32), labels, np.array(floors).reshape(-1, 2))
 
 
 def held_out(doc_id: Column) -> Column:
