@@ -18,6 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 _inside: ContextVar[str] = ContextVar("vicinage_scratch", default="")
 
+#: How tables are written: no marker file, and on mounted paths without the checksummed local file system,
+#: which starts a process of the executor's size (chmod) for every file and its checksum where Hadoop's native
+#: library is missing. Parquet pages carry checksums of their own; other stores are not affected.
+WRITING = {
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. Only where that is unset and everything runs on one
@@ -67,6 +76,12 @@ def clean(spark: SparkSession) -> None:
     remove(spark, session_dir(spark))
 
 
+def write(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet to ``path`` and read it back."""
+    df.write.options(**WRITING).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, and a lost
     executor costs at most the tasks that were running. With ``parts``, from a known number of rows,
@@ -74,8 +89,7 @@ def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame
     spark = df.sparkSession
     df = df if parts is None else df.coalesce(max(1, parts))
     path = fresh_path(spark, name)
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write(df, path)
 
 
 def local_path(uri: str) -> str | None:
