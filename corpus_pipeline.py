@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinage.llm import jaccard, language, mixing, packing, surrogates
-from vicinage.storage import fresh_path, materialize, scratch
+from vicinage.storage import fresh_path, materialize, scratch, write
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids up to which the rows to leave out are broadcast; they are joined beyond.
@@ -99,7 +99,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = fresh_path(spark, name)
         with scratch(spark):
-            result = stage(spark, docs, sf_dir)
-            result.write.parquet(path)
-        docs = spark.read.schema(result.schema).parquet(path)
+            docs = write(stage(spark, docs, sf_dir), path)
     return docs
