@@ -103,6 +103,14 @@ def test_wide_sparse_products(monkeypatch):
         assert np.allclose(search.sparse_dots(p, q), a @ b.T) and np.allclose(search.sparse_dots(p.part(2, 5), q), a[2:5] @ b.T)
 
 
+def test_tables_are_written_without_checksum_files(spark):
+    path = storage.fresh_path(spark, "plain")
+    back = storage.write(spark.range(9).withColumn("x", F.col("id") * 2), path)
+    assert sorted(map(tuple, back.collect())) == [(i, 2 * i) for i in range(9)] and back.schema == spark.read.parquet(path).schema
+    names = os.listdir(storage.local_path(path))
+    assert names and all(n.endswith(".parquet") for n in names)
+
+
 def test_scratch_tables_are_deleted(spark):
     kept = storage.materialize(spark.range(5), "kept")
     out = storage.fresh_path(spark, "out")
