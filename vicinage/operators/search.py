@@ -10,12 +10,15 @@ one list of neighbours together; extra columns are ignored; empty tables give no
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, matrix, sqdist, usable_rows
+from ..storage import materialize
 from .merge import top_k
 
 #: Rows of a block of queries and of points that meet in one matrix product.
@@ -93,17 +96,85 @@ def _cells(q: DataFrame, p: DataFrame, queries: DataFrame, points: DataFrame) ->
     return p.join(q, ["row", "column"])
 
 
+#: Of the plans of pairs: points that a query meets in the first round for each of its k, and how many times
+#: as many a round has met as the one before; rows of a side of a cell; components up to which each is a column.
+FIRST, GROWTH, PAIR_ROWS, PLAIN_WIDTH = 16, 16, 4096, 128
+
+
+def _spread(df: DataFrame, id_col: str, embedding: str, name: str, width: int, keep: tuple) -> DataFrame:
+    """keep, id and vector of the usable rows; up to PLAIN_WIDTH components as a column each, so that a
+    pair's distance is compiled arithmetic, not a function called for each component."""
+    rows = usable_rows(df, id_col, embedding).select(*keep, F.col(id_col).alias(name), doubles(embedding).alias("_e"))
+    if width > PLAIN_WIDTH:
+        return rows.withColumnRenamed("_e", f"_{name}")
+    at = [F.coalesce(F.col("_e")[i], F.lit(0.0)).alias(f"_{name}_{i}") for i in range(width)]
+    return rows.select(*keep, name, *at)
+
+
+def _spread_sqdist(width: int):
+    """Squared distance of two _spread() rows, summed in the order of sqdist()."""
+    if width > PLAIN_WIDTH:
+        return sqdist("_query_id", "_neighbor_id")
+    terms = [(F.col(f"_query_id_{i}") - F.col(f"_neighbor_id_{i}")) * (F.col(f"_query_id_{i}") - F.col(f"_neighbor_id_{i}")) for i in range(width)] or [F.lit(0.0)]
+    return reduce(lambda a, b: a + b, terms)
+
+
+def _sql_knn(queries: DataFrame, points: DataFrame, k: int, group: tuple[str, ...], id_col: str, embedding: str, include_self: bool) -> DataFrame:
+    """Exact top-k by joins alone, a row a pair; with ``group`` only pairs of equal group, each pair once.
+
+    Points are met in rounds of growing disjoint shares, dealt by a hash of their ids. A query's k-th
+    distance so far bounds what can still enter, so every pair is tested, but only the few within the
+    bound are sorted or shuffled; the last round has met all points."""
+    both = [usable_rows(x, id_col, embedding).select(F.size(embedding).alias("n")) for x in (queries, points)]
+    low, high = both[0].unionByName(both[1]).agg(F.min("n"), F.max("n")).first()
+    if low != high:
+        raise ValueError(f"vectors of {low} and of {high} components")
+    width = low or 0
+    spark = points.sparkSession
+    n_q, n_p = queries.count(), points.count()
+    most = (points.groupBy(*group).count().agg(F.max("count")).first()[0] or 0) if group else n_p
+    shares, size = [], FIRST * k
+    while size * 2 < most:
+        shares.append(size / most)
+        size *= GROWTH
+    shares.append(1.0)
+    q, p = _spread(queries, id_col, embedding, "query_id", width, group), _spread(points, id_col, embedding, "neighbor_id", width, group)
+    place = F.pmod(F.xxhash64("neighbor_id"), F.lit(1 << 30)) / float(1 << 30)
+    target, result, before = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), None, 0.0
+    for share in shares:
+        asked = q if result is None else q.join(result.filter(F.col("rank") == k).select("query_id", F.col("dist").alias("_bound")), "query_id", "left")
+        across = max(1, -(-int(n_p * (share - before)) // PAIR_ROWS)) if not group else 1
+        down = max(1, -(-n_q // PAIR_ROWS), min(-(-target // across), -(-n_q // 64))) if not group else max(1, -(-most // PAIR_ROWS))
+        # a row of the smaller side of the cells is copied to all cells that it meets
+        asked = asked.withColumn("_row", F.pmod(F.xxhash64("query_id"), F.lit(down))).withColumn("_column", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+        met = p.filter((place >= before) & (place < share)) if share < 1.0 else p.filter(place >= before)
+        met = met.withColumn("_column", F.pmod(F.xxhash64("neighbor_id", F.lit(7)), F.lit(across)).cast("int")).withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+        keys, parts = [*group, "_row", "_column"], max(1, min(target, down * across if not group else target))
+        pairs = asked.repartition(parts, *keys).hint("merge").join(met.repartition(parts, *keys), keys)
+        if not include_self:
+            pairs = pairs.filter("query_id <> neighbor_id")
+        bound = [] if result is None else ["_bound"]
+        pairs = pairs.select("query_id", "neighbor_id", _spread_sqdist(width).alias("dist"), *bound)
+        if bound:
+            pairs = pairs.filter(F.col("_bound").isNull() | (F.col("dist") <= F.col("_bound")))
+        pairs = pairs.select("query_id", "neighbor_id", "dist")
+        if result is not None:
+            pairs = pairs.unionByName(result.select("query_id", "neighbor_id", "dist"))
+        result = top_k(pairs.distinct() if group else pairs, k)
+        before = share
+        if share < 1.0:
+            result = materialize(result, "nearest")
+    return result
+
+
 def exact_knn(queries: DataFrame, points: DataFrame, k: int, *, id_col: str = "id", embedding: str = "embedding", metric: str = "sqeuclidean", include_self: bool = True, engine: str = "blocks") -> DataFrame:
     """The k nearest points of every query, by testing all of them.
 
     `blocks` lets packed blocks of both sides meet, one matrix product each, and merges their top-k;
-    `sql` is the same as one declarative plan, for small sides and as its check."""
+    `sql` is the same as declarative plans, a row a pair (_sql_knn), and the check of the other."""
     _check(k)
     if engine == "sql":
-        q = usable_rows(queries, id_col, embedding).select(F.col(id_col).alias("query_id"), F.col(embedding).alias("q_e"))
-        p = usable_rows(points, id_col, embedding).select(F.col(id_col).alias("neighbor_id"), F.col(embedding).alias("p_e"))
-        pairs = q.join(p, F.lit(True) if include_self else F.col("query_id") != F.col("neighbor_id"))
-        return finish(top_k(pairs.select("query_id", "neighbor_id", sqdist("q_e", "p_e").alias("dist")), k), metric)
+        return finish(_sql_knn(queries, points, k, (), id_col, embedding, include_self), metric)
     if engine != "blocks":
         raise ValueError("engine must be blocks or sql")
     pairs = _cells(blocks(queries, QUERY_BLOCK, id_col, embedding), blocks(points, POINT_BLOCK, id_col, embedding), queries, points)
