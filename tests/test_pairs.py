@@ -33,3 +33,19 @@ def test_pairs_of_the_sql_engine_are_bounded_in_rounds(spark, monkeypatch, width
         assert len(got) == 1200
     with pytest.raises(ValueError, match="components"):
         search.exact_knn(points, spark.createDataFrame([(1, [0.0] * 4)], "id long, embedding array<double>"), 2, engine="sql")
+
+
+def test_leaves_of_the_sql_engine_are_bounded_in_rounds(spark, monkeypatch):
+    for name, value in (("FIRST", 2), ("GROWTH", 3), ("PAIR_ROWS", 30)):
+        monkeypatch.setattr(search, name, value)
+    x = np.round(4 * np.random.default_rng(4).standard_normal((260, 5))) / 4
+    rows = [(t, int(i) % (2 + t), int(i), v.tolist()) for t in (0, 1) for i, v in enumerate(x)]
+    members = spark.createDataFrame(rows, "tree int, leaf_id long, id long, embedding array<double>")
+    found = search.leaf_knn(members, 4, group=("tree", "leaf_id"), engine="sql")
+    assert "zip_with" not in plan(found)
+    got = {(r.query_id, r.rank): (r.neighbor_id, r.dist) for r in found.collect()}
+    d, ids = ((x[:, None] - x[None]) ** 2).sum(2), np.arange(260)
+    for i in ids:
+        near = [j for j in np.lexsort((ids, d[i])) if j % 2 == i % 2 or j % 3 == i % 3][:4]
+        assert [got[i, r + 1] for r in range(4)] == [(j, d[i, j]) for j in near]
+    assert len(got) == 1040

@@ -371,16 +371,10 @@ def leaf_pairs(members: DataFrame, k: int, group: tuple[str, ...] = ("leaf_id",)
 
 
 def leaf_knn(members: DataFrame, k: int, *, group: tuple[str, ...] = ("leaf_id",), metric: str = "sqeuclidean", include_self: bool = True, engine: str = "arrow") -> DataFrame:
-    """Nearest neighbours within leaves. `sql` joins the members of a leaf in one declarative plan."""
+    """Nearest neighbours within leaves. `sql` joins the members of a leaf in declarative plans (_sql_knn)."""
     _check(k)
     if engine == "sql":
-        members = usable_rows(members)
-        q = members.select(*group, F.col("id").alias("query_id"), F.col("embedding").alias("q_e"))
-        p = members.select(*group, F.col("id").alias("neighbor_id"), F.col("embedding").alias("p_e"))
-        pairs = q.join(p, list(group))
-        if not include_self:
-            pairs = pairs.filter("query_id <> neighbor_id")
-        return finish(top_k(pairs.select("query_id", "neighbor_id", sqdist("q_e", "p_e").alias("dist")).distinct(), k), metric)
+        return finish(_sql_knn(members, members, k, group, "id", "embedding", include_self), metric)
     return finish(top_k(leaf_pairs(members, k, group, include_self), k), metric)
 
 
