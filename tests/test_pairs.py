@@ -49,3 +49,20 @@ def test_leaves_of_the_sql_engine_are_bounded_in_rounds(spark, monkeypatch):
         near = [j for j in np.lexsort((ids, d[i])) if j % 2 == i % 2 or j % 3 == i % 3][:4]
         assert [got[i, r + 1] for r in range(4)] == [(j, d[i, j]) for j in near]
     assert len(got) == 1040
+
+
+def test_overlapping_leaves_meet_as_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(search, "POINT_BLOCK", 70)
+    x = np.round(4 * np.random.default_rng(6).standard_normal((300, 5))) / 4
+    leaf, overlap = np.searchsorted([110, 130, 250], np.arange(300), side="right"), 15  # positions are not ids
+    rows = [(n, int(leaf[n]), int(i), x[i].tolist()) for n, i in enumerate(np.random.default_rng(7).permutation(300))]
+    found = search.leaf_knn_overlap(spark.createDataFrame(rows, "pos long, leaf_id long, id long, embedding array<double>"), 4, overlap)
+    assert "zip_with" not in plan(found)
+    got = {(r.query_id, r.rank): (r.neighbor_id, r.dist) for r in found.collect()}
+    for n, l, i, _ in rows:
+        own = np.flatnonzero(leaf == l)
+        reach = [r[2] for r in rows[max(0, own[0] - overlap) : own[-1] + overlap + 1]]
+        near = sorted((((x[i] - x[j]) ** 2).sum(), j) for j in reach)[:4]
+        assert [got[i, r + 1] for r in range(4)] == [(j, d) for d, j in near]
+    assert len(got) == 1200

@@ -400,17 +400,42 @@ def leaf_knn_overlap(ordered: DataFrame, k: int, overlap: int, *, metric: str =
     (pos, leaf_id, id, embedding).
 
     The range join is an equi-join on buckets of positions as wide as the widest window; a leaf's
-    window touches two or three buckets."""
+    window touches two or three buckets. Its blocks of queries and of points meet as matrix products."""
     _check(k)
     ordered = usable_rows(ordered)
     windows = ordered.groupBy("leaf_id").agg((F.min("pos") - overlap).alias("low"), (F.max("pos") + overlap).alias("high"))
     width = windows.agg(F.max(F.col("high") - F.col("low") + 1)).first()[0] or 1
     wanted = windows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
-    p = ordered.select("pos", F.col("id").alias("neighbor_id"), F.col("embedding").alias("p_e"), F.floor(F.col("pos") / width).alias("bucket"))
-    reach = p.join(wanted, "bucket").filter("pos BETWEEN low AND high").select("leaf_id", "neighbor_id", "p_e")
-    q = ordered.select("leaf_id", F.col("id").alias("query_id"), F.col("embedding").alias("q_e"))
-    pairs = q.join(reach, "leaf_id").select("query_id", "neighbor_id", sqdist("q_e", "p_e").alias("dist"))
-    return finish(top_k(pairs, k), metric)
+    p = ordered.select("pos", F.col("id").cast("long").alias("id"), doubles("embedding").alias("embedding"), F.floor(F.col("pos") / width).alias("bucket"))
+    reach = p.join(wanted, "bucket").filter("pos BETWEEN low AND high")
+    reach = reach.select(F.col("leaf_id").cast("long").alias("leaf_id"), F.floor(F.col("pos") / POINT_BLOCK).alias("chunk"), "id", "embedding")
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = matrix(table.column("embedding"))
+        cells = [table.column("leaf_id")[:1], table.column("chunk")[:1], pa.array([table.column("id").to_numpy().tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32()), pa.array([x.tobytes()], pa.binary())]
+        return pa.table(cells, ["leaf_id", "chunk", "ids", "width", "data"])
+
+    def packed(df: DataFrame) -> DataFrame:
+        return df.groupBy("leaf_id", "chunk").applyInArrow(pack, "leaf_id long, chunk long, ids binary, width int, data binary")
+
+    def meet(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if r["width"] != r["q_width"]:
+                    raise ValueError(f"vectors of {r['q_width']} and of {r['width']} components")
+                p_ids, q_ids = (np.frombuffer(r[c], np.int64) for c in ("ids", "q_ids"))
+                p, x = (np.frombuffer(r[c], np.float64).reshape(len(ids), -1) for c, ids in (("data", p_ids), ("q_data", q_ids)))
+                for at in range(0, len(q_ids), 256):
+                    yield _batch(nearest(q_ids[at : at + 256], x[at : at + 256], p_ids, p, k))
+
+    # a leaf's blocks of queries are cells of their own, to which its blocks of points are copied
+    q = packed(ordered.select(F.col("leaf_id").cast("long").alias("leaf_id"), F.floor(F.col("pos") / QUERY_BLOCK).alias("chunk"), F.col("id").cast("long").alias("id"), doubles("embedding").alias("embedding")))
+    q = q.select("leaf_id", F.col("chunk").alias("cell"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "width", "data")])
+    cells = windows.select(F.col("leaf_id").cast("long").alias("leaf_id"), F.explode(F.sequence(F.floor((F.col("low") + overlap) / QUERY_BLOCK), F.floor((F.col("high") - overlap) / QUERY_BLOCK))).alias("cell"))
+    p = packed(reach).join(cells, "leaf_id").drop("chunk")
+    pairs = p.join(q, ["leaf_id", "cell"]).drop("leaf_id", "cell")
+    return finish(top_k(pairs.mapInArrow(meet, PAIRS), k), metric)
 
 
 def leaf_knn_sparse(points: DataFrame, leaves: DataFrame, k: int, *, group: tuple[str, ...] = ("leaf_id",), metric: str = "sqeuclidean", include_self: bool = True) -> DataFrame:
