@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from vicinage.operators import search
+from vicinage.functions import sparse, vectors
+from vicinage.operators import products, search
 
 
 
@@ -66,3 +67,48 @@ def test_overlapping_leaves_meet_as_blocks(spark, monkeypatch):
         near = sorted((((x[i] - x[j]) ** 2).sum(), j) for j in reach)[:4]
         assert [got[i, r + 1] for r in range(4)] == [(j, d) for d, j in near]
     assert len(got) == 1200
+
+
+ENTRIES = "row long, col int, val double"
+
+
+def sums(left, right, group=()):
+    """(group, i, j) -> val, by all pairs of entries; a sum without a value is null."""
+    out = {}
+    for *g, i, k, a in left:
+        for *h, l, j, b in right:
+            if g == h and k is not None and k == l:
+                out.setdefault((*g, i, j), []).append(None if a is None or b is None else a * b)
+    return {at: sum(x for x in v if x is not None) if any(x is not None for x in v) else None for at, v in out.items()}
+
+
+def same(got, want):
+    assert set(got) == set(want)
+    for at, v in want.items():
+        assert (got[at] is None) == (v is None) and (v is None or got[at] == pytest.approx(v, abs=1e-9, nan_ok=True)), at
+
+
+def some(n, width, share, odd=True):
+    rng = np.random.default_rng(n)
+    out = [(i, c, float(rng.integers(-3, 4)) / 2) for i in range(n) for c in range(width) if rng.random() < share]
+    return out + [(3, 1, 0.5), (None, 2, 1.0), (4, None, 1.0), (5, 0, float("nan")), (6, 2, float("inf")), (n + 5, 1, None)] * odd
+
+
+@pytest.mark.parametrize("rows, share, crowded", [(40, 0.5, True), (120, 0.002, False)])
+def test_products_in_cells_and_by_joins(spark, monkeypatch, rows, share, crowded):
+    monkeypatch.setattr(products, "ROWS", 7)
+    monkeypatch.setattr(products, "SIDE", 2)
+    own = some(rows, 5 if crowded else 400, share, odd=crowded)
+    back = [(c, r, v) for r, c, v in own]
+    found = sparse.multiply(spark.createDataFrame(own, ENTRIES), spark.createDataFrame(back, "row int, col long, val double"))
+    assert ("MapInArrow" in plan(found)) == crowded and dict(found.dtypes) == {"i": "bigint", "j": "bigint", "val": "double"}
+    rows_ = found.collect()
+    same({(r.i, r.j): r.val for r in rows_}, sums(own, back))
+    assert len(rows_) == len(sums(own, back))
+
+
+def test_rounding_is_that_of_sql(spark):
+    x = [0.5e-6, -0.5e-6, 2.5, -2.5e-7, 1.0000005, 1e18 + 0.1, float("inf"), -0.0, 123456.1234565]
+    got = vectors.round_half_up(np.array(x), 6)
+    assert got.tolist() == [1e-6, -1e-6, 2.5, 0.0, 1.000001, 1e18, float("inf"), 0.0, 123456.123457] and not np.signbit(got[[3, 7]]).any()
+    assert np.isnan(vectors.round_half_up(np.array([np.nan]), 6)).all()

@@ -1,7 +1,7 @@
 """Sparse matrices as entries: DataFrames (row, col, val) or, for points, (id, col, val).
 
-Products are equi-joins on the shared dimension with partial sums before the shuffle; no dense
-intermediate is built unless a function says so.
+Products are made in cells of packed rows, or, where few of their entries are there, by equi-joins on
+the shared dimension with partial sums before the shuffle (operators/products.py).
 """
 
 from __future__ import annotations
@@ -18,16 +18,21 @@ def row_norms(points: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return ids.select("id").join(out, "id", "left").select("id", F.coalesce("sqnorm", F.lit(0.0)).alias("sqnorm"))
 
 
-def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
+def multiply(a: DataFrame, b: DataFrame, digits: int | None = None) -> DataFrame:
     """Sparse product (i, j, val) of a (row, col, val) and b (row, col, val)."""
-    left = a.select(F.col("row").alias("i"), F.col("col").alias("k"), F.col("val").alias("av"))
-    right = b.select(F.col("row").alias("k"), F.col("col").alias("j"), F.col("val").alias("bv"))
-    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("val"))
+    from ..operators.products import product
+
+    return product(*_factors(a, b), digits=digits)
+
+
+def _factors(a: DataFrame, b: DataFrame, group: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    left = a.select(*group, F.col("row").alias("i"), F.col("col").alias("k"), F.col("val").alias("av"))
+    return left, b.select(*group, F.col("row").alias("k"), F.col("col").alias("j"), F.col("val").alias("bv"))
 
 
-def inner(q: DataFrame, r: DataFrame) -> DataFrame:
+def inner(q: DataFrame, r: DataFrame, digits: int | None = None) -> DataFrame:
     """(i, j, val): inner products of the rows of q with the rows of r that share a column."""
-    return multiply(rows(q), transpose(rows(r)))
+    return multiply(rows(q), transpose(rows(r)), digits)
 
 
 def rows(points: DataFrame) -> DataFrame:

@@ -92,6 +92,18 @@ def usable_rows(df: DataFrame, id_col: str = "id", vector: str = "embedding") ->
     return df.filter(F.col(id_col).isNotNull() & usable(vector))
 
 
+def round_half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded to digits after the point, halves away from zero as SQL does, and no negative zero."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scaled = x * 10.0**digits
+        out = np.rint(scaled)
+        half = np.abs(scaled - np.trunc(scaled)) == 0.5
+        if half.any():
+            out[half] = np.trunc(scaled[half]) + np.sign(scaled[half])
+        out = out / 10.0**digits + 0.0
+        return np.where(np.abs(scaled) < 2.0**52, out, x)
+
+
 def matrix(column) -> np.ndarray:
     """A list column of equal lengths as a matrix of doubles; ValueError for nulls and other lengths."""
     if isinstance(column, pa.ChunkedArray):

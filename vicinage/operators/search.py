@@ -271,6 +271,8 @@ def sparse_dots(a: Entries, b: Entries) -> np.ndarray:
     (ra, ca, va), (rb, cb, vb) = sides
     na, nb = np.bincount(ca, minlength=len(common)), np.bincount(cb, minlength=len(common))
     heavy = na * nb * 128 > a.n * b.n
+    for c, v in ((ca, va), (cb, vb)):
+        heavy[c[~np.isfinite(v)]] = False  # these meet nothing but the entries of their columns
     number = np.cumsum(heavy) - 1
     for first in range(0, int(heavy.sum()), COLUMNS):
         dense = []

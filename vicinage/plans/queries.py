@@ -237,7 +237,7 @@ def project_sparse(spark, sf_dir):
 @query(f"WITH {S} SELECT a.id AS i, b.id AS j, round(sum(a.val * b.val), 6) AS val FROM s a JOIN s b ON a.col = b.col GROUP BY 1, 2")
 def spgemm(spark, sf_dir):
     points = sparse_emb(spark, sf_dir)
-    return rounded(sparse.inner(points, points), "val")
+    return sparse.inner(points, points, digits=6)
 
 
 @query(f"WITH {S} SELECT a.id AS i, b.id AS j, round(sum(a.val * b.val), 6) AS val FROM s a JOIN s b ON a.col = b.col GROUP BY 1, 2")
