@@ -112,3 +112,15 @@ def test_rounding_is_that_of_sql(spark):
     got = vectors.round_half_up(np.array(x), 6)
     assert got.tolist() == [1e-6, -1e-6, 2.5, 0.0, 1.000001, 1e18, float("inf"), 0.0, 123456.123457] and not np.signbit(got[[3, 7]]).any()
     assert np.isnan(vectors.round_half_up(np.array([np.nan]), 6)).all()
+
+
+@pytest.mark.parametrize("rows, share, crowded", [(40, 0.5, True), (120, 0.002, False)])
+def test_gram_mirrors_tiles(spark, monkeypatch, rows, share, crowded):
+    monkeypatch.setattr(products, "ROWS", 7)
+    monkeypatch.setattr(products, "SIDE", 2)
+    own = some(rows, 5 if crowded else 400, share, odd=crowded) + [(None, 3, 2.0)]
+    found = sparse.gram(spark.createDataFrame(own, ENTRIES))
+    assert ("MapInArrow" in plan(found)) == crowded
+    rows_ = found.collect()
+    same({(r.i, r.j): r.val for r in rows_}, sums(own, [(c, r, v) for r, c, v in own]))
+    assert len(rows_) == len({(r.i, r.j) for r in rows_})

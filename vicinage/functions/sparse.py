@@ -39,13 +39,11 @@ def rows(points: DataFrame) -> DataFrame:
     return points.select(F.col("id").alias("row"), "col", "val")
 
 
-def gram(a: DataFrame) -> DataFrame:
+def gram(a: DataFrame, digits: int | None = None) -> DataFrame:
     """A times its transpose: the upper triangle is computed, the lower mirrored."""
-    left = a.select(F.col("row").alias("i"), F.col("col").alias("k"), F.col("val").alias("av"))
-    right = a.select(F.col("row").alias("j"), F.col("col").alias("k"), F.col("val").alias("bv"))
-    upper = left.join(right, "k").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("val"))
-    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    return upper.select(F.explode(both).alias("at"), "val").select("at.i", "at.j", "val")
+    from ..operators.products import product
+
+    return product(*_factors(a, transpose(a)), mirror=True, digits=digits)
 
 
 def to_grid(product: DataFrame, row_ids: DataFrame, col_ids: DataFrame) -> DataFrame:

@@ -29,11 +29,11 @@ def product(left: DataFrame, right: DataFrame, group: tuple[str, ...] = (), *, m
         return cells(_rows(left, group, "i", "av"), _rows(right, group, "j", "bv"), group, mirror=mirror, digits=digits)
     pairs = left.join(right, [*group, "k"])
     if mirror:
-        pairs = pairs.filter("i <= j")
+        pairs = pairs.filter("i <= j OR i IS NULL")
     val = F.sum(F.col("av") * F.col("bv"))
     out = pairs.groupBy(*group, "i", "j").agg((val if digits is None else F.round(val, digits)).alias("val"))
     if mirror:
-        both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+        both = F.when(F.col("i").eqNullSafe(F.col("j")), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
         out = out.select(*group, F.explode(both).alias("at"), "val").select(*group, "at.i", "at.j", "val")
     return out
 

@@ -242,7 +242,7 @@ def spgemm(spark, sf_dir):
 
 @query(f"WITH {S} SELECT a.id AS i, b.id AS j, round(sum(a.val * b.val), 6) AS val FROM s a JOIN s b ON a.col = b.col GROUP BY 1, 2")
 def gram_symmetric(spark, sf_dir):
-    return rounded(sparse.gram(sparse.rows(sparse_emb(spark, sf_dir))), "val")
+    return sparse.gram(sparse.rows(sparse_emb(spark, sf_dir)), digits=6)
 
 
 @query(f"WITH {S}, g AS (SELECT a.id AS i, b.id AS j, sum(a.val * b.val) AS val FROM s a JOIN s b ON a.col = b.col GROUP BY 1, 2) SELECT x.id AS i, y.id AS j, round(coalesce(g.val, 0), 6) AS val FROM p x CROSS JOIN p y LEFT JOIN g ON g.i = x.id AND g.j = y.id")
