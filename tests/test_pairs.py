@@ -124,3 +124,20 @@ def test_gram_mirrors_tiles(spark, monkeypatch, rows, share, crowded):
     rows_ = found.collect()
     same({(r.i, r.j): r.val for r in rows_}, sums(own, [(c, r, v) for r, c, v in own]))
     assert len(rows_) == len({(r.i, r.j) for r in rows_})
+
+
+@pytest.mark.parametrize("rows, share, crowded", [(40, 0.5, True), (120, 0.002, False)])
+def test_products_of_diagonal_blocks(spark, monkeypatch, rows, share, crowded):
+    monkeypatch.setattr(products, "ROWS", 7)
+    monkeypatch.setattr(products, "SIDE", 2)
+    own = [(b, *e) for b, n in ((0, rows), (1, 9), (4, rows // 2)) for e in some(n, 5 if crowded else 400, share, odd=crowded)]
+    own += [(7, 1, 1, 1.0), (None, 1, 1, 1.0)] if crowded else []
+    back = [(b, c, r, v) for b, r, c, v in own if b != 7]
+    own, back = ([e for e in x if e[0] is not None] + [(None, 1, 1, 1.0)] for x in (own, back))
+    schema = "block int, " + ENTRIES
+    found = sparse.multiply_blocks(spark.createDataFrame(own, schema), spark.createDataFrame(back, schema.replace("col int", "col long")))
+    assert ("MapInArrow" in plan(found)) == crowded
+    rows_ = found.collect()
+    want = {at: v for at, v in sums(own, back, ("block",)).items() if at[0] is not None}
+    same({(r.block, r.i, r.j): r.val for r in rows_}, want)
+    assert len(rows_) == len(want)

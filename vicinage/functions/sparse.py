@@ -59,11 +59,11 @@ def multiply_dense(points: DataFrame, columns: DataFrame) -> DataFrame:
     return points.join(columns, "col").groupBy("id", "level").agg(F.sum(F.col("val") * F.col("weight")).alias("proj"))
 
 
-def multiply_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Products of the diagonal blocks of block-diagonal matrices (block, row, col, val) in one join."""
-    left = a.select("block", F.col("row").alias("i"), F.col("col").alias("k"), F.col("val").alias("av"))
-    right = b.select("block", F.col("row").alias("k"), F.col("col").alias("j"), F.col("val").alias("bv"))
-    return left.join(right, ["block", "k"]).groupBy("block", "i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("val"))
+def multiply_blocks(a: DataFrame, b: DataFrame, digits: int | None = None) -> DataFrame:
+    """Products of the diagonal blocks of block-diagonal matrices (block, row, col, val) in one pass."""
+    from ..operators.products import product
+
+    return product(*_factors(a, b, ("block",)), ("block",), digits=digits)
 
 
 def transpose(a: DataFrame) -> DataFrame:
