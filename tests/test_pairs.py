@@ -141,3 +141,17 @@ def test_products_of_diagonal_blocks(spark, monkeypatch, rows, share, crowded):
     want = {at: v for at, v in sums(own, back, ("block",)).items() if at[0] is not None}
     same({(r.block, r.i, r.j): r.val for r in rows_}, want)
     assert len(rows_) == len(want)
+
+
+def test_products_on_the_whole_grid(spark, monkeypatch):
+    monkeypatch.setattr(products, "ROWS", 7)
+    monkeypatch.setattr(products, "SIDE", 2)
+    own, other = (some(n, 5, 0.3, odd=False) for n in (30, 20))
+    q, r = (spark.createDataFrame(x, "id long, col int, val double") for x in (own + [(99, 1, 1.0)], other))  # 99 is not asked for
+    q_ids, r_ids = (spark.createDataFrame([(i,) for i in x], "id long") for x in ([*range(35), 3, None], range(25)))
+    found = sparse.inner_whole(q, r, q_ids, r_ids)
+    assert "Cartesian" not in plan(found) and "NestedLoop" not in plan(found)
+    rows_ = found.collect()
+    want = sums(own, [(c, j, v) for j, c, v in other])
+    assert sorted((str(r.i), r.j) for r in rows_) == sorted((str(i), j) for i in [*range(35), 3, None] for j in range(25))
+    assert all(r.val == pytest.approx(want.get((r.i, r.j), 0.0)) for r in rows_)

@@ -46,11 +46,11 @@ def gram(a: DataFrame, digits: int | None = None) -> DataFrame:
     return product(*_factors(a, transpose(a)), mirror=True, digits=digits)
 
 
-def to_grid(product: DataFrame, row_ids: DataFrame, col_ids: DataFrame) -> DataFrame:
-    """A product on its whole grid of row_ids (i) by col_ids (j), 0 where it has no entry. The grid is
-    the result asked for; the smaller id list is broadcast if Spark finds it small."""
-    grid = row_ids.select("i").join(col_ids.select("j"), F.lit(True))
-    return grid.join(product, ["i", "j"], "left").select("i", "j", F.coalesce("val", F.lit(0.0)).alias("val"))
+def inner_whole(q: DataFrame, r: DataFrame, q_ids: DataFrame, r_ids: DataFrame, digits: int | None = None) -> DataFrame:
+    """inner() on the whole grid of q_ids (id) by r_ids (id), 0 where it has no entry. The grid is the result asked for."""
+    from ..operators.products import multiply_whole
+
+    return multiply_whole(*_factors(rows(q), transpose(rows(r))), q_ids.select(F.col("id").alias("i")), r_ids.select(F.col("id").alias("j")), digits)
 
 
 def multiply_dense(points: DataFrame, columns: DataFrame) -> DataFrame:

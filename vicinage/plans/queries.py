@@ -248,8 +248,7 @@ def gram_symmetric(spark, sf_dir):
 @query(f"WITH {S}, g AS (SELECT a.id AS i, b.id AS j, sum(a.val * b.val) AS val FROM s a JOIN s b ON a.col = b.col GROUP BY 1, 2) SELECT x.id AS i, y.id AS j, round(coalesce(g.val, 0), 6) AS val FROM p x CROSS JOIN p y LEFT JOIN g ON g.i = x.id AND g.j = y.id")
 def spgemm_dense(spark, sf_dir):
     points, ids = sparse_emb(spark, sf_dir), dense(spark, sf_dir)
-    product = sparse.inner(points, points)
-    return rounded(sparse.to_grid(product, ids.select(F.col("id").alias("i")), ids.select(F.col("id").alias("j"))), "val")
+    return sparse.inner_whole(points, points, ids, ids, digits=6)
 
 
 @query(f"WITH {S} SELECT CAST(col AS INTEGER) AS row, id AS col, round(val, 6) AS val FROM s")
