@@ -155,3 +155,21 @@ def test_products_on_the_whole_grid(spark, monkeypatch):
     want = sums(own, [(c, j, v) for j, c, v in other])
     assert sorted((str(r.i), r.j) for r in rows_) == sorted((str(i), j) for i in [*range(35), 3, None] for j in range(25))
     assert all(r.val == pytest.approx(want.get((r.i, r.j), 0.0)) for r in rows_)
+
+
+def test_distance_matrix_by_products_keeps_small_distances(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 70)
+    monkeypatch.setattr(search, "POINT_BLOCK", 50)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((200, 6)) + 1e6  # norms that swallow the distances
+    x[100:] = x[:100] + 1e-3
+    x[7] = x[3]
+    points = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(3)
+    want = ((x[:, None] - x[None]) ** 2).sum(2)
+    for digits, near in ((None, 1e-12), (6, 0.6e-6)):
+        got = search.pairwise_sqdist(points, points, digits=digits).toPandas()
+        assert len(got) == 40000 == len(set(zip(got.i, got.j))) and (got.dist >= 0).all()
+        assert abs(got.dist.to_numpy() - want[got.i, got.j]).max() < near
+    assert (got.dist == vectors.round_half_up(got.dist.to_numpy(), 6)).all()
+    y = rng.standard_normal((30, 4))
+    assert np.allclose(search.distances(y, y + 3), ((y[:, None] - y[None] - 3) ** 2).sum(2), rtol=1e-12)

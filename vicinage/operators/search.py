@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import doubles, matrix, sqdist, usable_rows
+from ..functions.vectors import doubles, matrix, round_half_up, sqdist, usable_rows
 from ..storage import materialize
 from .merge import top_k
 
@@ -203,8 +203,22 @@ def exact_knn_chunked(queries: DataFrame, points: DataFrame, k: int, chunks: lis
     return top_k(out, k)
 
 
-def pairwise_sqdist(queries: DataFrame, points: DataFrame, id_col: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(i, j, dist): the whole distance matrix, which is the result asked for, a cell of blocks a task."""
+def distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of q and p. Where cancellation would show, because a distance is
+    small beside the norms or they are not finite, it is computed again as a sum of squares."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale = (q * q).sum(1)[:, None] + (p * p).sum(1)[None, :]
+        out = scale - 2.0 * (q @ p.T)
+        row, at = np.nonzero(~(out > 0.01 * scale))
+    for i in range(0, len(row), 1 << 16):
+        gap = q[row[i : i + (1 << 16)]] - p[at[i : i + (1 << 16)]]
+        out[row[i : i + (1 << 16)], at[i : i + (1 << 16)]] = np.einsum("ij,ij->i", gap, gap)
+    return out
+
+
+def pairwise_sqdist(queries: DataFrame, points: DataFrame, id_col: str = "id", embedding: str = "embedding", digits: int | None = None) -> DataFrame:
+    """(i, j, dist): the whole distance matrix, which is the result asked for, a cell of blocks a task;
+    ``digits`` rounds the distances."""
     pairs = _cells(blocks(queries, QUERY_BLOCK, id_col, embedding), blocks(points, POINT_BLOCK, id_col, embedding), queries, points)
 
     def meet(batches):
@@ -215,9 +229,11 @@ def pairwise_sqdist(queries: DataFrame, points: DataFrame, id_col: str = "id", e
                 p, x = (np.frombuffer(r[c], np.float64).reshape(len(ids), -1) for c, ids in (("data", p_ids), ("q_data", q_ids)))
                 if p.shape[1] != x.shape[1]:
                     raise ValueError(f"vectors of {x.shape[1]} and of {p.shape[1]} components")
-                for a in range(len(q_ids)):
-                    gap = p - x[a]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p_ids), q_ids[a])), pa.array(p_ids), pa.array(np.einsum("ij,ij->i", gap, gap))], ["i", "j", "dist"])
+                for a in range(0, len(q_ids), 32):
+                    d = distances(x[a : a + 32], p).ravel()
+                    d = d if digits is None else round_half_up(d, digits)
+                    own = q_ids[a : a + 32]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, len(p_ids))), pa.array(np.tile(p_ids, len(own))), pa.array(d)], ["i", "j", "dist"])
 
     return pairs.mapInArrow(meet, "i long, j long, dist double")
 

@@ -187,7 +187,7 @@ def exact_knn_sparse_chunked(spark, sf_dir):
 @query(f"WITH {P} SELECT q.id AS i, r.id AS j, round({sqd('q.e', 'r.e')}, 6) AS dist FROM p q, p r")
 def pairwise_sqdist(spark, sf_dir):
     points = dense(spark, sf_dir)
-    return rounded(search.pairwise_sqdist(points, points))
+    return search.pairwise_sqdist(points, points, digits=6)
 
 
 @query(f"WITH {P} SELECT id, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS sqnorm FROM p")
