@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from vicinage.functions import sparse, vectors
-from vicinage.operators import products, search
+from vicinage.operators import products, search, twins
 
 
 
@@ -173,3 +173,56 @@ def test_distance_matrix_by_products_keeps_small_distances(spark, monkeypatch):
     assert (got.dist == vectors.round_half_up(got.dist.to_numpy(), 6)).all()
     y = rng.standard_normal((30, 4))
     assert np.allclose(search.distances(y, y + 3), ((y[:, None] - y[None] - 3) ** 2).sum(2), rtol=1e-12)
+
+
+@pytest.mark.parametrize("tile, strip, run", [(50, 32, 64), (30, 7, 8), (1024, 32, 64)])
+def test_own_distances_are_made_once_and_mirrored(spark, monkeypatch, tile, strip, run):
+    monkeypatch.setattr(search, "TILE", tile)
+    monkeypatch.setattr(search, "TILES", 2)
+    monkeypatch.setattr(search, "STRIP", strip)
+    monkeypatch.setattr(twins, "RUN", run)
+    twins._twice_all.cache_clear()
+    x = np.random.default_rng(3).standard_normal((230, 6))
+    ids = np.r_[np.arange(200), np.arange(30)]  # some stand for two rows
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)] + [(None, [0.0] * 6), (900, [float("nan")] * 6)]
+    points = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    got = search.pairwise_sqdist(points, points).toPandas()
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = sorted(zip(np.repeat(ids, 230), np.tile(ids, 230), d.ravel()))
+    got = sorted(zip(got.i, got.j, got.dist))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-12)
+    other = points.filter("id < 20")
+    assert search.pairwise_sqdist(other, points).count() == 40 * 230
+    mixed = points.unionByName(spark.createDataFrame([(1, [0.0] * 4)], points.schema))
+    with pytest.raises(Exception, match="length|components"):
+        search.pairwise_sqdist(mixed, mixed).collect()
+    twins._twice_all.cache_clear()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.6, 0.98, 1.0])
+@pytest.mark.parametrize("shape", [(32, 1024), (5, 70), (1, 1), (40, 7)])
+def test_entries_and_their_mirror_images(share, shape):
+    there = np.random.default_rng(1).random(shape) < share
+    place, image = twins.twice(there)
+    assert sorted(place[~image]) == sorted(place[image]) == list(np.flatnonzero(there))
+
+
+@pytest.fixture(scope="module")
+def vectors_of_1500(spark, tmp_path_factory):
+    x = np.random.default_rng(2).standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    path = str(tmp_path_factory.mktemp("pairs"))
+    spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name, most", [("pairwise_sqdist", 5.0)])
+def test_results_of_all_pairs_are_short_on_disk(spark, monkeypatch, vectors_of_1500, tmp_path, name, most):
+    """Values that are written twice near each other, and in a dictionary: before, over 8 bytes a pair."""
+    from vicinage.plans import queries as Q
+
+    monkeypatch.setattr(search, "GRAIN", 1)
+    Q.QUERIES[name](spark, vectors_of_1500).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").count()
+    assert rows > 2_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) / rows < most

@@ -10,6 +10,7 @@ one list of neighbours together; extra columns are ignored; empty tables give no
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 from ..functions.vectors import doubles, matrix, round_half_up, sqdist, usable_rows
 from ..storage import materialize
 from .merge import top_k
+from .twins import GRAIN, STRIP, apart, mirrored
 
 #: Rows of a block of queries and of points that meet in one matrix product.
 QUERY_BLOCK, POINT_BLOCK = 2048, 8192
+#: Rows of a tile of the points' own distance matrix, tiles of a side of a cell at most.
+TILE, TILES = 1024, 8
 PAIRS = "query_id long, neighbor_id long, dist double"
 METRICS = ("sqeuclidean", "euclidean")
 
@@ -218,7 +222,9 @@ def distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def pairwise_sqdist(queries: DataFrame, points: DataFrame, id_col: str = "id", embedding: str = "embedding", digits: int | None = None) -> DataFrame:
     """(i, j, dist): the whole distance matrix, which is the result asked for, a cell of blocks a task;
-    ``digits`` rounds the distances."""
+    ``digits`` rounds the distances. Where both sides are the same frame, one triangle is computed."""
+    if queries is points:
+        return _own_sqdist(points, id_col, embedding, digits)
     pairs = _cells(blocks(queries, QUERY_BLOCK, id_col, embedding), blocks(points, POINT_BLOCK, id_col, embedding), queries, points)
 
     def meet(batches):
@@ -238,6 +244,39 @@ def pairwise_sqdist(queries: DataFrame, points: DataFrame, id_col: str = "id", e
     return pairs.mapInArrow(meet, "i long, j long, dist double")
 
 
+def _own_sqdist(points: DataFrame, id_col: str, embedding: str, digits: int | None) -> DataFrame:
+    """pairwise_sqdist of points with themselves. Rows are dealt to tiles by a hash of id and vector, so that
+    both sides have the same tiles, and squares of tiles of one triangle are the tasks' cells; a distance
+    and its mirror image are written near each other (twins.py)."""
+    rows = usable_rows(points, id_col, embedding).select(F.col(id_col).cast("long").alias("id"), doubles(embedding).alias("e"))
+    target = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = max(1, -(-rows.count() // TILE))
+    side = max(1, min(TILES, math.isqrt(tiles * tiles // min(GRAIN, target))))
+    packed = rows.groupBy(F.pmod(F.xxhash64("id", "e"), F.lit(tiles)).alias("at")).agg(F.collect_list(F.struct("id", "e")).alias("rows"))
+    own, last = F.floor(F.col("at") / side), (tiles - 1) // side
+    keys, parts = ["cell_i", "cell_j"], apart(target, tiles * tiles // side**2)
+    i = packed.select(F.col("at").alias("at_i"), F.col("rows").alias("rows_i"), own.alias("cell_i"), F.explode(F.sequence(own, F.lit(last).cast("long"))).alias("cell_j"))
+    j = packed.select(F.col("at").alias("at_j"), F.col("rows").alias("rows_j"), own.alias("cell_j"), F.explode(F.sequence(F.lit(0).cast("long"), own)).alias("cell_i"))
+    met = i.repartition(parts, *keys).join(j.repartition(parts, *keys), keys).filter("at_i <= at_j")
+
+    def meet(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                (i, x), (j, y) = ((ids, matrix(e)) for ids, e in (batch.column(c)[n].values.flatten() for c in ("rows_i", "rows_j")))
+                if x.shape[1] != y.shape[1]:
+                    raise ValueError(f"vectors of {x.shape[1]} and of {y.shape[1]} components")
+                same = batch.column("at_i")[n].as_py() == batch.column("at_j")[n].as_py()
+                if same:  # the other side's rows may lie in another order
+                    j, y = i, x
+                for at in range(0, len(i), STRIP):
+                    d = distances(x[at : at + STRIP], y)
+                    d = d if digits is None else round_half_up(d, digits)
+                    ids, place = mirrored(i.slice(at, len(d)), j, np.ones(d.shape, bool), at if same else None)
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(d.ravel()[place])], ["i", "j", "dist"])
+
+    return met.select("at_i", "at_j", "rows_i", "rows_j").mapInArrow(meet, "i long, j long, dist double")
+
+
 def sparse_rows(points: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(id, cols, vals) a row of sparse points (id, col, val), by column; ids (id) adds the rows without
     entries. Entries without id, column or a finite value take no part."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sparse, vectors
-from ..operators import exchange, merge, metrics, search, tree
+from ..operators import exchange, merge, metrics, search, tree, twins
 from ..operators.directions import directions_frame, load_directions, make_directions, orthoproj, save_directions
 from ..operators.forest import Forest
 from ..sources import generators, readers, writers
@@ -186,6 +186,7 @@ def exact_knn_sparse_chunked(spark, sf_dir):
 
 @query(f"WITH {P} SELECT q.id AS i, r.id AS j, round({sqd('q.e', 'r.e')}, 6) AS dist FROM p q, p r")
 def pairwise_sqdist(spark, sf_dir):
+    twins.share_values(spark)
     points = dense(spark, sf_dir)
     return search.pairwise_sqdist(points, points, digits=6)
 
