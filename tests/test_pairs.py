@@ -207,6 +207,19 @@ def test_entries_and_their_mirror_images(share, shape):
     assert sorted(place[~image]) == sorted(place[image]) == list(np.flatnonzero(there))
 
 
+def test_product_with_itself_on_the_whole_grid(spark, monkeypatch):
+    monkeypatch.setattr(products, "ROWS", 7)
+    monkeypatch.setattr(products, "SIDE", 2)
+    own = some(30, 5, 0.3, odd=False)
+    points = spark.createDataFrame(own + [(99, 1, 1.0)], "id long, col int, val double")  # 99 is not asked for
+    asked = [*range(35), 3, None]
+    ids = spark.createDataFrame([(i,) for i in asked], "id long")
+    rows_ = sparse.inner_whole(points, points, ids, ids).collect()
+    want = sums(own, [(c, j, v) for j, c, v in own])
+    assert sorted((str(r.i), str(r.j)) for r in rows_) == sorted((str(i), str(j)) for i in asked for j in asked)
+    assert all(r.val == pytest.approx(want.get((r.i, r.j), 0.0)) for r in rows_)
+
+
 @pytest.fixture(scope="module")
 def vectors_of_1500(spark, tmp_path_factory):
     x = np.random.default_rng(2).standard_normal((1500, 64))
@@ -216,11 +229,12 @@ def vectors_of_1500(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name, most", [("pairwise_sqdist", 5.0)])
+@pytest.mark.parametrize("name, most", [("pairwise_sqdist", 5.0), ("spgemm_dense", 4.0)])
 def test_results_of_all_pairs_are_short_on_disk(spark, monkeypatch, vectors_of_1500, tmp_path, name, most):
     """Values that are written twice near each other, and in a dictionary: before, over 8 bytes a pair."""
     from vicinage.plans import queries as Q
 
+    monkeypatch.setattr(products, "GRAIN", 1)
     monkeypatch.setattr(search, "GRAIN", 1)
     Q.QUERIES[name](spark, vectors_of_1500).write.parquet(f"{tmp_path}/out")
     rows = spark.read.parquet(f"{tmp_path}/out").count()

@@ -50,7 +50,7 @@ def inner_whole(q: DataFrame, r: DataFrame, q_ids: DataFrame, r_ids: DataFrame,
     """inner() on the whole grid of q_ids (id) by r_ids (id), 0 where it has no entry. The grid is the result asked for."""
     from ..operators.products import multiply_whole
 
-    return multiply_whole(*_factors(rows(q), transpose(rows(r))), q_ids.select(F.col("id").alias("i")), r_ids.select(F.col("id").alias("j")), digits)
+    return multiply_whole(*_factors(rows(q), transpose(rows(r))), q_ids.select(F.col("id").alias("i")), r_ids.select(F.col("id").alias("j")), digits, mirror=q is r and q_ids is r_ids)
 
 
 def multiply_dense(points: DataFrame, columns: DataFrame) -> DataFrame:
