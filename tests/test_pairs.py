@@ -229,7 +229,7 @@ def vectors_of_1500(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name, most", [("pairwise_sqdist", 5.0), ("spgemm_dense", 4.0), ("gram_symmetric", 4.2)])
+@pytest.mark.parametrize("name, most", [("pairwise_sqdist", 5.0), ("spgemm_dense", 4.0), ("gram_symmetric", 4.2), ("spgemm", 4.2)])
 def test_results_of_all_pairs_are_short_on_disk(spark, monkeypatch, vectors_of_1500, tmp_path, name, most):
     """Values that are written twice near each other, and in a dictionary: before, over 8 bytes a pair."""
     from vicinage.plans import queries as Q

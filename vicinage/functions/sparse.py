@@ -31,7 +31,10 @@ def _factors(a: DataFrame, b: DataFrame, group: tuple[str, ...] = ()) -> tuple[D
 
 
 def inner(q: DataFrame, r: DataFrame, digits: int | None = None) -> DataFrame:
-    """(i, j, val): inner products of the rows of q with the rows of r that share a column."""
+    """(i, j, val): inner products of the rows of q with the rows of r that share a column; where both are
+    the same frame, its gram()."""
+    if q is r:
+        return gram(rows(q), digits)
     return multiply(rows(q), transpose(rows(r)), digits)
 
 
